@@ -59,7 +59,7 @@ FROM d""")
 define("fx_items", """
 WITH i AS (SELECT l_orderkey order_id, l_linenumber order_item_id, l_partkey product_id, l_suppkey seller_id,
   l_shipdate shipping_limit_ts, l_extendedprice price,
-  round(l_extendedprice*l_tax*CASE WHEN l_orderkey%701=0 THEN 90 ELSE 1 END+0.001,2) freight_value FROM lineitem)
+  round(l_extendedprice*l_tax*CASE WHEN l_orderkey%701=0 THEN 90 ELSE 1 END+0.00003,2) freight_value FROM lineitem)
 SELECT * FROM i UNION ALL SELECT order_id, order_item_id+100, product_id, seller_id, shipping_limit_ts, price,
   freight_value FROM i WHERE order_id%220=0""")
 define("fx_sellers", """

@@ -13,6 +13,7 @@ from haulmark.sources.star import Star, adapt_star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+MODULE_OF: dict[str, str] = {}
 
 
 class Inputs:
@@ -48,6 +49,7 @@ def query(name: str, sql: str | None = None):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, folder: fn(Inputs(spark, folder))
+        MODULE_OF[name] = fn.__module__
         if sql is not None:
             ORACLES[name] = with_ctes(sql)
         return fn

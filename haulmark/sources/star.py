@@ -227,7 +227,7 @@ def adapt_star(spark: SparkSession, folder: str) -> Star:
         F.col("l_suppkey").alias("seller_id"),
         F.col("l_shipdate").cast("timestamp").alias("shipping_limit_ts"),
         F.col("l_extendedprice").alias("price"),
-        F.round(F.col("l_extendedprice") * F.col("l_tax") * F.when(ok % 701 == 0, 90).otherwise(1) + 0.001, 2).alias(
+        F.round(F.col("l_extendedprice") * F.col("l_tax") * F.when(ok % 701 == 0, 90).otherwise(1) + 0.00003, 2).alias(
             "freight_value"
         ),
     )
