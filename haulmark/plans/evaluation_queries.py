@@ -89,11 +89,11 @@ def _(t):
 
 @query("price_error_cost", """
 WITH e AS (SELECT *, p50-freight_value err, CASE WHEN freight_value>0 THEN 100*(p50-freight_value)/freight_value END rel FROM pr_test),
-a AS (SELECT count(*) n, CAST(greatest(floor(epoch(max(purchase_ts)-min(purchase_ts))/86400),1) AS BIGINT) days, count(*) FILTER (err<0) n_under,
+a AS (SELECT count(*) n, CAST(greatest(floor(epoch(max(purchase_ts)-min(purchase_ts))/86400),1) AS BIGINT) AS days, count(*) FILTER (err<0) n_under,
  coalesce(sum(-err) FILTER (err<0),0) lost_margin, count(*) FILTER (err>0) n_over, coalesce(sum(err) FILTER (err>0),0) excess,
  count(*) FILTER (rel>10) n_over_10pct, coalesce(sum(freight_value) FILTER (rel>10),0) at_risk_10pct FROM e)
-SELECT n, days, n_under, n_over, n_over_10pct, round(lost_margin,1) lost_margin, round(excess,1) excess, round(at_risk_10pct,1) at_risk_10pct,
- round(lost_margin*365/days,0) lost_margin_year FROM a""")
+SELECT n, a.days AS days, n_under, n_over, n_over_10pct, round(lost_margin,1) lost_margin, round(excess,1) excess, round(at_risk_10pct,1) at_risk_10pct,
+ round(lost_margin*365/a.days,0) lost_margin_year FROM a""")
 def _(t):
     out = ev.error_cost(_price_split(t)[1])
     return out.select(
