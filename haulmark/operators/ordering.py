@@ -159,17 +159,20 @@ def top_k(df: DataFrame, order: list, k: int) -> DataFrame:
 def temporal_split(df: DataFrame, order: list[str], fractions=(0.70, 0.85), names=("train", "calib", "test")) -> DataFrame:
     """Split by position in time: ``int(n * fraction)`` rows lie before each cut.
 
-    Only the order columns are sorted. The cut rows come back as scalars and the full rows
-    are compared with them, so the wide table itself is not shuffled.
+    Only the order columns are sorted. The cut rows, one per fraction, come to the driver and
+    the full rows are compared with them, so the wide table itself is not shuffled.
     """
-    keys = row_numbers(df.select(*order), order)
-    total = df.select(F.count("*")).scalar()
-    out = F.lit(names[-1])
-    me = F.struct(*order)
-    for fraction, name in reversed(list(zip(fractions, names[:-1], strict=True))):
-        at = F.floor(total * F.lit(fraction)).cast("long")
-        cut = keys.filter(F.col("row_no") == at).select(F.struct(*order)).scalar()
-        out = F.when(me < cut, name).otherwise(out)
+    keys = df.select(*order)
+    total = keys.count()
+    at = [int(total * f) for f in fractions]
+    found = {r["row_no"]: r for r in row_numbers(keys, order).filter(F.col("row_no").isin(at)).collect()}
+    me, out = F.struct(*order), F.lit(names[-1])
+    for place, name in reversed(list(zip(at, names[:-1], strict=True))):
+        if place in found:
+            cut = F.struct(*[F.lit(found[place][c]).cast(df.schema[c].dataType).alias(c) for c in order])
+            out = F.when(me < cut, name).otherwise(out)
+        else:
+            out = F.lit(name)
     return df.withColumn("split", out)
 
 

@@ -4,7 +4,14 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["curation_queries", "report_queries", "quoting_queries", "evaluation_queries", "model_queries"]
+MODULES = [
+    "curation_queries",
+    "report_queries",
+    "quoting_queries",
+    "evaluation_queries",
+    "model_queries",
+    "stream_queries",
+]
 
 
 def load_all() -> None:

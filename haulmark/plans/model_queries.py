@@ -9,13 +9,20 @@ from haulmark.operators import centroids, deliveries, ordering, price_model, rou
 from haulmark.operators import delay as delay_ops
 from haulmark.plans.quoting_queries import DAY, _Q
 from haulmark.plans.registry import query
+from haulmark.session import reliable_checkpoint
 
 KEYS = ["order_id", "seller_id"]
 OUTLIER_INPUTS = ["x_" + c for c in PRICE_NUMERIC]
 
 
+def _split_shipments(t):
+    """Training reads the table many times, so it is written once to the checkpoint folder."""
+    df = reliable_checkpoint(deliveries.build_shipments(t.star))
+    return ordering.temporal_split(df, ["purchase_ts", *KEYS])
+
+
 def _sides(t):
-    df = ordering.temporal_split(deliveries.build_shipments(t.star), ["purchase_ts", *KEYS])
+    df = _split_shipments(t)
     return tuple(df.filter(F.col("split") == s) for s in ("train", "calib", "test"))
 
 
@@ -28,13 +35,12 @@ def _(t):
 
 @query("price_split_optimism")
 def _(t):
-    df = ordering.temporal_split(deliveries.build_shipments(t.star), ["purchase_ts", *KEYS])
-    return price_model.leakage_check(df, rounds=5, depth=4)
+    return price_model.leakage_check(_split_shipments(t), rounds=5, depth=4)
 
 
 @query("structural_outliers")
 def _(t):
-    df = prepare_features(deliveries.build_shipments(t.star))
+    df = prepare_features(reliable_checkpoint(deliveries.build_shipments(t.star)))
     forest = price_model.fit_isolation(df, OUTLIER_INPUTS, KEYS, trees=50)
     return forest.transform(df).select(*KEYS, F.round("structural_score", 4).alias("structural_score"), "structural_outlier")
 
@@ -50,8 +56,16 @@ def _(t):
     return out.select("id_email", "model_status", "model_total", "p25", "p75", "distance_km")
 
 
+def _segment_shipments(t):
+    return reliable_checkpoint(deliveries.build_segment_shipments(t.star))
+
+
+def _delay_split(t):
+    return ordering.date_split(reliable_checkpoint(delay_ops.delay_table(t.star)), "purchase_ts")
+
+
 def _delay_sides(t):
-    df = ordering.date_split(delay_ops.delay_table(t.star), "purchase_ts")
+    df = _delay_split(t)
     return df.filter("split = 'train'"), df.filter("split = 'test'")
 
 
@@ -70,7 +84,7 @@ def _(t):
 
 @query("delay_leak_proofs")
 def _(t):
-    return delay_ops.leak_proofs(ordering.date_split(delay_ops.delay_table(t.star), "purchase_ts"), rounds=5)
+    return delay_ops.leak_proofs(_delay_split(t), rounds=5)
 
 
 @query("delay_permutation_importance")
@@ -87,29 +101,29 @@ def _(t):
 
 @query("segment_k_sweep")
 def _(t):
-    _, scaled = segments.scale(deliveries.build_segment_shipments(t.star))
+    _, scaled = segments.scale(_segment_shipments(t))
     return segments.sweep_k(scaled, 2, 5, starts=1)
 
 
 @query("shipment_segments")
 def _(t):
-    df = deliveries.build_segment_shipments(t.star)
+    df = _segment_shipments(t)
     return segments.segment(df, k=4, starts=1).transform(df).select(*KEYS, "segment")
 
 
 @query("segment_stability")
 def _(t):
-    df = deliveries.build_segment_shipments(t.star)
+    df = _segment_shipments(t)
     return segments.stability_ari(df, segments.segment(df, k=3, starts=1), KEYS, replicas=2)
 
 
 @query("segment_centers")
 def _(t):
-    df = deliveries.build_segment_shipments(t.star)
+    df = _segment_shipments(t)
     return segments.segment_centers(segments.segment(df, k=4, starts=1), t.spark)
 
 
 @query("segment_pca")
 def _(t):
-    loadings, _ = segments.project_pca(deliveries.build_segment_shipments(t.star))
+    loadings, _ = segments.project_pca(_segment_shipments(t))
     return loadings

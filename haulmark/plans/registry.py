@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from haulmark.operators.curation import curate_star, star_core
 from haulmark.operators.sla import analytic_cut
 from haulmark.plans.ctes import with_ctes
-from haulmark.sources.star import Star, adapt_star
+from haulmark.sources.star import AdaptedStar, adapt_star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,8 +26,8 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    @property
-    def star(self) -> Star:
+    @cached_property
+    def star(self) -> AdaptedStar:
         return adapt_star(self.spark, self.folder)
 
     @property

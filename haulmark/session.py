@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,20 +32,26 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors share. Only a local session without one gets its own."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of the cluster, so a lost executor costs no rerun.
-
-    Only a local session without a configured folder gets one of its own.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(folder)
+    """Cut the lineage in the shared folder of the cluster, so a lost executor costs no rerun."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulmark.functions.times import coerce_timestamps
 from haulmark.session import use_utc
 
 
@@ -160,13 +160,13 @@ def _convert(source: str, target: str, kind: str):
 
 def write_star(star: Star, folder: str) -> None:
     """Store the star as Parquet under the file names the reader expects."""
-    for f in fields(Star):
-        df = getattr(star, f.name)
-        names = {target: source for source, target, _ in COLUMNS[f.name]}
+    for name, columns in COLUMNS.items():
+        df = getattr(star, name)
+        names = {target: source for source, target, _ in columns}
         known = [c for c in df.columns if c in names]
-        absent = [F.lit(None).cast("string").alias(s) for s, t, _ in COLUMNS[f.name] if t not in df.columns]
+        absent = [F.lit(None).cast("string").alias(s) for s, t, _ in columns if t not in df.columns]
         df.select(*[F.col(c).alias(names[c]) for c in known], *absent).write.mode("errorifexists").parquet(
-            f"{folder}/{FILES[f.name]}.parquet"
+            f"{folder}/{FILES[name]}.parquet"
         )
 
 
@@ -175,179 +175,212 @@ def _hours(ts, n):
     return F.timestamp_add("HOUR", n.cast("int"), ts)
 
 
-def adapt_star(spark: SparkSession, folder: str) -> Star:
-    """Derive the star from TPC-H-like Parquet tables by fixed formulas.
+class AdaptedStar:
+    """The star derived from TPC-H-like Parquet tables by fixed formulas.
 
     The formulas plant every defect the curation rules look for; the same ones are written in
-    SQL for the comparison, so both sides see the same rows.
+    SQL for the comparison, so both sides see the same rows. A table is planned on first use.
     """
-    use_utc(spark)
 
-    def table(name):
-        return spark.read.parquet(f"{folder}/{name}.parquet")
-
-    nation = table("nation")
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    status = (
-        F.when(k % 160 == 0, "canceled").when(k % 40 == 7, "shipped").otherwise("delivered")
-    )
-    base = table("orders").select(
-        k.alias("k"),
-        c.alias("c"),
-        F.col("o_orderpriority").alias("priority"),
-        status.alias("st"),
-        _hours(F.col("o_orderdate").cast("timestamp"), k % 24).alias("buy"),
-    )
-    k, c, st, buy = F.col("k"), F.col("c"), F.col("st"), F.col("buy")
-    base = base.withColumns(
-        {"app": _hours(buy, c % 36), "car": _hours(buy, c % 36 + ((k * 7) % 61 - 1) * 3)}
-    )
-    car = F.col("car")
-    orders = base.select(
-        k.alias("order_id"),
-        c.alias("customer_id"),
-        st.alias("order_status"),
-        buy.alias("purchase_ts"),
-        F.when(k % 97 != 0, F.col("app")).alias("approved_ts"),
-        F.when(~((st != "delivered") & (k % 2 == 1)), car).alias("carrier_ts"),
-        F.when((st != "delivered") | (k % 200 == 3), F.lit(None).cast("timestamp"))
-        .when(k % 500 == 11, _hours(car, F.lit(-24)))
-        .when(k % 900 == 13, _hours(car, F.lit(24 * 120)))
-        .otherwise(_hours(car, 24 * ((k * 13) % 29) + k % 10))
-        .alias("delivered_ts"),
-        _hours(F.date_trunc("day", buy), 24 * (20 + c % 10)).alias("promised_ts"),
-        "priority",
-    )
-
-    ok = F.col("l_orderkey")
-    once = table("lineitem").select(
-        ok.alias("order_id"),
-        F.col("l_linenumber").alias("order_item_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_suppkey").alias("seller_id"),
-        F.col("l_shipdate").cast("timestamp").alias("shipping_limit_ts"),
-        F.col("l_extendedprice").alias("price"),
-        F.round(F.col("l_extendedprice") * F.col("l_tax") * F.when(ok % 701 == 0, 90).otherwise(1) + 0.00003, 2).alias(
-            "freight_value"
-        ),
-    )
-    # One pass over lineitem: the doubled rows come from an explode, not from a second scan.
-    copies = F.when(F.col("order_id") % 220 == 0, F.array(F.lit(0), F.lit(100))).otherwise(F.array(F.lit(0)))
-    items = once.withColumn("shift", F.explode(copies)).select(
-        "order_id",
-        (F.col("order_item_id") + F.col("shift")).alias("order_item_id"),
-        "product_id",
-        "seller_id",
-        "shipping_limit_ts",
-        "price",
-        "freight_value",
-    )
-
-    sellers = (
-        table("supplier")
-        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.col("s_suppkey").alias("seller_id"),
-            F.lpad((F.col("s_suppkey") % 50).cast("string"), 5, "0").alias("zip_prefix"),
-            F.concat(F.lit("N"), "s_nationkey").alias("seller_state"),
-            F.col("n_name").alias("seller_city"),
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self._spark, self._folder = use_utc(spark), folder
+
+    def _table(self, name: str) -> DataFrame:
+        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+
+    @property
+    def _nation(self) -> DataFrame:
+        return self._table("nation")
+
+    @cached_property
+    def _buyers(self) -> DataFrame:
+        return self._table("customer").join(self._nation, F.col("c_nationkey") == F.col("n_nationkey"))
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        k, c = F.col("o_orderkey"), F.col("o_custkey")
+        status = (
+            F.when(k % 160 == 0, "canceled").when(k % 40 == 7, "shipped").otherwise("delivered")
+        )
+        base = self._table("orders").select(
+            k.alias("k"),
+            c.alias("c"),
+            F.col("o_orderpriority").alias("priority"),
+            status.alias("st"),
+            _hours(F.col("o_orderdate").cast("timestamp"), k % 24).alias("buy"),
+        )
+        k, c, st, buy = F.col("k"), F.col("c"), F.col("st"), F.col("buy")
+        base = base.withColumns(
+            {"app": _hours(buy, c % 36), "car": _hours(buy, c % 36 + ((k * 7) % 61 - 1) * 3)}
+        )
+        car = F.col("car")
+        return base.select(
+            k.alias("order_id"),
+            c.alias("customer_id"),
+            st.alias("order_status"),
+            buy.alias("purchase_ts"),
+            F.when(k % 97 != 0, F.col("app")).alias("approved_ts"),
+            F.when(~((st != "delivered") & (k % 2 == 1)), car).alias("carrier_ts"),
+            F.when((st != "delivered") | (k % 200 == 3), F.lit(None).cast("timestamp"))
+            .when(k % 500 == 11, _hours(car, F.lit(-24)))
+            .when(k % 900 == 13, _hours(car, F.lit(24 * 120)))
+            .otherwise(_hours(car, 24 * ((k * 13) % 29) + k % 10))
+            .alias("delivered_ts"),
+            _hours(F.date_trunc("day", buy), 24 * (20 + c % 10)).alias("promised_ts"),
+            "priority",
+        )
+
+    @cached_property
+    def items(self) -> DataFrame:
+        ok = F.col("l_orderkey")
+        once = self._table("lineitem").select(
+            ok.alias("order_id"),
+            F.col("l_linenumber").alias("order_item_id"),
+            F.col("l_partkey").alias("product_id"),
+            F.col("l_suppkey").alias("seller_id"),
+            F.col("l_shipdate").cast("timestamp").alias("shipping_limit_ts"),
+            F.col("l_extendedprice").alias("price"),
+            F.round(F.col("l_extendedprice") * F.col("l_tax") * F.when(ok % 701 == 0, 90).otherwise(1) + 0.00003, 2).alias(
+                "freight_value"
+            ),
+        )
+        # One pass over lineitem: the doubled rows come from an explode, not from a second scan.
+        copies = F.when(F.col("order_id") % 220 == 0, F.array(F.lit(0), F.lit(100))).otherwise(F.array(F.lit(0)))
+        return once.withColumn("shift", F.explode(copies)).select(
+            "order_id",
+            (F.col("order_item_id") + F.col("shift")).alias("order_item_id"),
+            "product_id",
+            "seller_id",
+            "shipping_limit_ts",
+            "price",
+            "freight_value",
+        )
+
+    @cached_property
+    def sellers(self) -> DataFrame:
+        return (
+            self._table("supplier")
+            .join(self._nation, F.col("s_nationkey") == F.col("n_nationkey"))
+            .select(
+                F.col("s_suppkey").alias("seller_id"),
+                F.lpad((F.col("s_suppkey") % 50).cast("string"), 5, "0").alias("zip_prefix"),
+                F.concat(F.lit("N"), "s_nationkey").alias("seller_state"),
+                F.col("n_name").alias("seller_city"),
+            )
+        )
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        ck = F.col("c_custkey")
+        city = (
+            F.when(ck % 40 == 3, F.concat(F.lower("n_name"), F.lit(" - n"), F.col("c_nationkey")))
+            .when(ck % 40 == 9, F.lower("n_name"))
+            .otherwise(F.col("n_name"))
         )
-    )
-    ck = F.col("c_custkey")
-    city = (
-        F.when(ck % 40 == 3, F.concat(F.lower("n_name"), F.lit(" - n"), F.col("c_nationkey")))
-        .when(ck % 40 == 9, F.lower("n_name"))
-        .otherwise(F.col("n_name"))
-    )
-    buyers = table("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    customers = buyers.select(
-        ck.alias("customer_id"),
-        F.lpad((10000 + ck % 300).cast("string"), 5, "0").alias("zip_prefix"),
-        F.concat(F.lit("N"), "c_nationkey").alias("customer_state"),
-        city.alias("customer_city"),
-    )
-
-    pk, size = F.col("p_partkey"), F.col("p_size")
-    products = table("part").select(
-        pk.alias("product_id"),
-        F.col("p_type").alias("category"),
-        F.when(pk % 211 == 0, None)
-        .when(pk % 307 == 0, 0.0)
-        .when(pk % 401 == 0, 35000.0)
-        .otherwise(size * 150.0)
-        .alias("weight_g"),
-        (size + 10.0).alias("length_cm"),
-        (size + 5.0).alias("height_cm"),
-        (size + 8.0).alias("width_cm"),
-    )
-
-    due = items.groupBy("order_id").agg(F.sum(F.col("price") + F.col("freight_value")).alias("v"))
-    oid, v, pr = F.col("order_id"), F.col("v"), F.col("priority")
-    kind = (
-        F.when(oid % 1500 == 0, "not_defined")
-        .when(pr.startswith("1"), "boleto")
-        .when(pr.startswith("2"), "voucher")
-        .when(pr.startswith("3"), "debit_card")
-        .otherwise("credit_card")
-    )
-    first = F.struct(
-        F.lit(1).alias("payment_sequential"),
-        kind.alias("payment_type"),
-        F.when(oid % 1500 == 0, 0.0).when(oid % 300 == 7, v + 5.0).when(oid % 5 == 0, v / 2).otherwise(v).alias(
-            "payment_value"
-        ),
-    )
-    second = F.struct(
-        F.lit(2).alias("payment_sequential"),
-        F.lit("voucher").alias("payment_type"),
-        (v - v / 2).alias("payment_value"),
-    )
-    split = (oid % 5 == 0) & (oid % 1500 != 0) & (oid % 300 != 7)
-    payments = (
-        due.join(orders.select("order_id", "priority"), "order_id")
-        .select("order_id", F.inline(F.when(split, F.array(first, second)).otherwise(F.array(first))))
-        .withColumn("installments", (F.col("order_id") % 4).cast("int"))
-    )
-
-    places = (
-        sellers.select("zip_prefix", F.col("seller_state").alias("state"), F.col("seller_city").alias("city"))
-        .union(
-            buyers.select(
-                F.lpad((10000 + ck % 300).cast("string"), 5, "0"), F.concat(F.lit("N"), "c_nationkey"), "n_name"
+        return self._buyers.select(
+            ck.alias("customer_id"),
+            F.lpad((10000 + ck % 300).cast("string"), 5, "0").alias("zip_prefix"),
+            F.concat(F.lit("N"), "c_nationkey").alias("customer_state"),
+            city.alias("customer_city"),
+        )
+
+    @cached_property
+    def products(self) -> DataFrame:
+        pk, size = F.col("p_partkey"), F.col("p_size")
+        return self._table("part").select(
+            pk.alias("product_id"),
+            F.col("p_type").alias("category"),
+            F.when(pk % 211 == 0, None)
+            .when(pk % 307 == 0, 0.0)
+            .when(pk % 401 == 0, 35000.0)
+            .otherwise(size * 150.0)
+            .alias("weight_g"),
+            (size + 10.0).alias("length_cm"),
+            (size + 5.0).alias("height_cm"),
+            (size + 8.0).alias("width_cm"),
+        )
+
+    @cached_property
+    def payments(self) -> DataFrame:
+        due = self.items.groupBy("order_id").agg(F.sum(F.col("price") + F.col("freight_value")).alias("v"))
+        oid, v, pr = F.col("order_id"), F.col("v"), F.col("priority")
+        kind = (
+            F.when(oid % 1500 == 0, "not_defined")
+            .when(pr.startswith("1"), "boleto")
+            .when(pr.startswith("2"), "voucher")
+            .when(pr.startswith("3"), "debit_card")
+            .otherwise("credit_card")
+        )
+        first = F.struct(
+            F.lit(1).alias("payment_sequential"),
+            kind.alias("payment_type"),
+            F.when(oid % 1500 == 0, 0.0).when(oid % 300 == 7, v + 5.0).when(oid % 5 == 0, v / 2).otherwise(v).alias(
+                "payment_value"
+            ),
+        )
+        second = F.struct(
+            F.lit(2).alias("payment_sequential"),
+            F.lit("voucher").alias("payment_type"),
+            (v - v / 2).alias("payment_value"),
+        )
+        split = (oid % 5 == 0) & (oid % 1500 != 0) & (oid % 300 != 7)
+        return (
+            due.join(self.orders.select("order_id", "priority"), "order_id")
+            .select("order_id", F.inline(F.when(split, F.array(first, second)).otherwise(F.array(first))))
+            .withColumn("installments", (F.col("order_id") % 4).cast("int"))
+        )
+
+    @cached_property
+    def geo(self) -> DataFrame:
+        ck = F.col("c_custkey")
+        places = (
+            self.sellers.select("zip_prefix", F.col("seller_state").alias("state"), F.col("seller_city").alias("city"))
+            .union(
+                self._buyers.select(
+                    F.lpad((10000 + ck % 300).cast("string"), 5, "0"), F.concat(F.lit("N"), "c_nationkey"), "n_name"
+                )
             )
+            .distinct()
+            .withColumn("z", F.col("zip_prefix").cast("int"))
+            .filter("z % 60 <> 5")
         )
-        .distinct()
-        .withColumn("z", F.col("zip_prefix").cast("int"))
-        .filter("z % 60 <> 5")
-    )
-    z = F.col("z")
-    lat, lng = -33.0 + ((z * 37) % 380) / 10.0, -73.0 + ((z * 53) % 380) / 10.0
-
-    def point(a, b):
-        return F.struct(a.alias("lat"), b.alias("lng"))
-
-    points = F.array_compact(
-        F.array(
-            *[point(lat + j * 0.01, lng + j * 0.02) for j in range(3)],
-            F.when(z % 4 == 0, point(lat, lng)),
-            F.when(z % 90 == 0, point(F.lit(41.0), F.lit(-8.0))),
+        z = F.col("z")
+        lat, lng = -33.0 + ((z * 37) % 380) / 10.0, -73.0 + ((z * 53) % 380) / 10.0
+
+        def point(a, b):
+            return F.struct(a.alias("lat"), b.alias("lng"))
+
+        points = F.array_compact(
+            F.array(
+                *[point(lat + j * 0.01, lng + j * 0.02) for j in range(3)],
+                F.when(z % 4 == 0, point(lat, lng)),
+                F.when(z % 90 == 0, point(F.lit(41.0), F.lit(-8.0))),
+            )
+        )
+        return places.select("zip_prefix", F.inline(points), "city", "state")
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        oid = F.col("order_id")
+        created = _hours(F.col("promised_ts"), (oid % 7) * 24)
+        return self.orders.filter("order_id % 50 <> 1").select(
+            F.explode(F.when(oid % 60 == 2, F.array(oid, oid + 1)).otherwise(F.array(oid))).alias("review_id"),
+            "order_id",
+            (1 + oid % 5).cast("int").alias("review_score"),
+            created.alias("created_ts"),
+            _hours(created, (oid * 11) % 90).alias("answered_ts"),
         )
-    )
-    geo = places.select("zip_prefix", F.inline(points), "city", "state")
-
-    created = _hours(F.col("promised_ts"), (oid % 7) * 24)
-    reviews = orders.filter("order_id % 50 <> 1").select(
-        F.explode(F.when(oid % 60 == 2, F.array(oid, oid + 1)).otherwise(F.array(oid))).alias("review_id"),
-        "order_id",
-        (1 + oid % 5).cast("int").alias("review_score"),
-        created.alias("created_ts"),
-        _hours(created, (oid * 11) % 90).alias("answered_ts"),
-    )
-    translation = (
-        table("part")
-        .select(F.col("p_type").alias("category"))
-        .distinct()
-        .filter("category NOT LIKE 'S%'")
-        .withColumn("category_english", F.lower("category"))
-    )
-    return Star(orders, items, customers, sellers, products, payments, geo, reviews, translation)
+
+    @cached_property
+    def translation(self) -> DataFrame:
+        return (
+            self._table("part")
+            .select(F.col("p_type").alias("category"))
+            .distinct()
+            .filter("category NOT LIKE 'S%'")
+            .withColumn("category_english", F.lower("category"))
+        )
+
+
+def adapt_star(spark: SparkSession, folder: str) -> AdaptedStar:
+    return AdaptedStar(spark, folder)
