@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from haulmark.config import QuotingConfig
 from haulmark.functions.requests import VOLUME
@@ -46,45 +47,48 @@ _THREAD_OUT = "id_email long, thread_id long, ts timestamp, remetente string, e_
 )
 
 
-class ThreadMerger(StatefulProcessor):
-    """Completes each message with what its thread said before; the newest given value wins."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("fields", _STATE, ttlDurationMs=30 * 24 * 3600 * 1000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        # The messages one customer wrote in a thread within one micro-batch.
-        batch = pd.concat(list(rows)).sort_values(["ts", "id_email"])
-        known = dict(zip([*_FIELDS, "confianca"], self.state.get(), strict=True)) if self.state.exists() else {}
-        out = []
-        for row in batch.to_dict("records"):
-            row = {k: (None if not isinstance(v, (list, dict)) and pd.isna(v) else v) for k, v in row.items()}
-            if row["e_cotacao"]:
-                for f in _FIELDS:
-                    if row[f] in (None, "", 0):
-                        row[f] = known.get(f)
-                row["confianca"] = max(row["confianca"] or 0.0, known.get("confianca") or 0.0)
-            for f in _FIELDS:
-                if row[f] not in (None, "", 0):
-                    known[f] = row[f]
-            known["confianca"] = max(row["confianca"] or 0.0, known.get("confianca") or 0.0)
-            out.append(row)
-        count = known.get("qtd_volumes")
-        known["qtd_volumes"] = None if count is None else int(count)
-        self.state.update(tuple(known.get(f) for f in [*_FIELDS, "confianca"]))
-        result = pd.DataFrame(out)[["id_email", "thread_id", "ts", "remetente", "e_cotacao", "confianca", *_FIELDS]]
-        result["qtd_volumes"] = result["qtd_volumes"].astype("Int32")
-        yield result
-
-    def close(self) -> None:
-        pass
-
-
-def thread_state(df: DataFrame) -> DataFrame:
-    """Streaming twin of the thread merge. Needs the RocksDB state store provider."""
+STATE_TTL_MS = 30 * 24 * 3600 * 1000
+
+
+def _given(value) -> bool:
+    """Zero, empty text and missing values count as not given."""
+    return value is not None and value == value and value not in ("", 0)
+
+
+def _merge_messages(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Complete each message with what its thread said before; the newest given value wins."""
+    names = [*_FIELDS, "confianca"]
+    if state.hasTimedOut:
+        state.remove()
+        return
+    known = dict(zip(names, state.get, strict=True)) if state.exists else dict.fromkeys(names)
+    # The messages one customer wrote in a thread within one micro-batch.
+    batch = pd.concat(list(frames)).sort_values(["ts", "id_email"]).astype(object)
+    out = []
+    for row in batch.to_dict("records"):
+        if row["e_cotacao"]:
+            row.update({f: known[f] for f in _FIELDS if not _given(row[f])})
+            row["confianca"] = max(row["confianca"], known["confianca"] or 0.0)
+        known.update({f: row[f] for f in _FIELDS if _given(row[f])})
+        known["confianca"] = max(row["confianca"], known["confianca"] or 0.0)
+        out.append(row)
+    if known["qtd_volumes"] is not None:
+        known["qtd_volumes"] = int(known["qtd_volumes"])
+    state.update(tuple(known[n] for n in names))
+    newest = int(batch["ts"].max().timestamp() * 1000)
+    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + STATE_TTL_MS)
+    result = pd.DataFrame(out)[["id_email", "thread_id", "ts", "remetente", "e_cotacao", "confianca", *_FIELDS]]
+    yield result.astype({"qtd_volumes": "Int32", "valor_nf": "float64", "peso_kg": "float64", "m3_informado": "float64"})
+
+
+def thread_state(df: DataFrame, watermark: str = "7 days") -> DataFrame:
+    """Streaming twin of the thread merge; the state of a silent thread ends after thirty days.
+
+    The end is counted in event time: a wall-clock timeout would keep starting empty batches.
+    """
     cols = ["id_email", "thread_id", "ts", "remetente", "e_cotacao", "confianca", *_FIELDS]
-    return df.select(*cols).groupBy("thread_id").transformWithStateInPandas(
-        statefulProcessor=ThreadMerger(), outputStructType=_THREAD_OUT, outputMode="Append", timeMode="ProcessingTime"
+    return df.withWatermark("ts", watermark).select(*cols).groupBy("thread_id").applyInPandasWithState(
+        _merge_messages, _THREAD_OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
