@@ -23,7 +23,7 @@ SELECT CAST(n+x AS INT) line_no, CASE WHEN n%50=11 THEN NULL WHEN n%50=6 THEN 'R
  'CITY '||b cidade_destino, 'N'||chr(CAST(65+b AS INT)) uf_destino,
  CASE WHEN n%50=2 THEN 0.0 ELSE (10+(s*7+b*3)%40) END::DOUBLE valor_por_volume, (50+n%60)::DOUBLE frete_minimo,
  CASE WHEN n%50=10 THEN 90 ELSE n%9 END::DOUBLE pedagio_por_volume,
- (0.1::DOUBLE+(n%9)/10)*CASE WHEN n%50=1 THEN 100 ELSE 1 END gris_percentual, 0.2::DOUBLE advalorem_percentual,
+ (0.1::DOUBLE+(n%9)/10)*CASE WHEN n%50=1 THEN 100 ELSE 1 END gris_percentual, 0.2003::DOUBLE advalorem_percentual,
  CASE WHEN n%3=0 THEN 15 ELSE 0 END::DOUBLE taxa_entrega_dificil,
  CASE WHEN n%13<>0 THEN 30+n%50 END::DOUBLE peso_maximo_volume_kg,
  CASE WHEN n%50=9 THEN 60 ELSE CAST(1+n%10 AS INT) END prazo_dias,
@@ -95,7 +95,7 @@ SELECT *, CASE WHEN coalesce(remetente,'')='' OR remetente LIKE '%noreply%' OR N
  WHEN o<>'' AND d<>'' AND line_no IS NULL THEN 'sem_rota'
  WHEN o='' OR d='' OR packages IS NULL OR coalesce(valor_nf,0)<=0 OR coalesce(peso_kg,0)<=0 THEN 'incompleto'
  WHEN confianca<0.60 THEN 'erro' WHEN peso_kg/packages>peso_maximo_volume_kg THEN 'erro' ELSE 'cotado' END outcome,
- CASE WHEN volume IS NOT NULL THEN round(applied0+charge+taxa_entrega_dificil,1) END total1 FROM rq_priced""")
+ CASE WHEN volume IS NOT NULL THEN round(applied0+charge+taxa_entrega_dificil,2) END total1 FROM rq_priced""")
 
 
 class _Q:
@@ -481,14 +481,14 @@ def _(t):
     return routing.quarantine_reason(routing.with_request_route(q.requests), q.audited).select("origin_norm", "dest_norm")
 
 
-@query("table_prices", """SELECT id_email, round(volume,1) freight_packages, round(applied0,1) freight_applied, round(charge,1) gris_advalorem,
+@query("table_prices", """SELECT id_email, round(volume,2) freight_packages, round(applied0,2) freight_applied, round(charge,2) gris_advalorem,
 total1 total, prazo_dias lead_days, applied0>volume used_minimum FROM rq_decided WHERE line_no IS NOT NULL AND volume IS NOT NULL""")
 def _(t):
     q = _Q(t)
     df = routing.with_route_status(q.requests, q.audited, DAY).withColumn("packages", requests.effective_packages())
     out = routing.price_table(df.filter("tariff IS NOT NULL AND packages IS NOT NULL"))
     money = ("freight_packages", "freight_applied", "gris_advalorem", "total")
-    return out.select("id_email", *[F.round(c, 1).alias(c) for c in money], "lead_days", "used_minimum")
+    return out.select("id_email", *money, "lead_days", "used_minimum")
 
 
 @query("routed_requests", """SELECT id_email, outcome, CASE outcome WHEN 'erro' THEN 'IA/Revisar' WHEN 'incompleto' THEN 'IA/Incompleto'
@@ -496,7 +496,7 @@ WHEN 'sem_rota' THEN 'IA/Sem-Rota' ELSE 'IA/Processado' END label, CASE WHEN out
 def _(t):
     q = _Q(t)
     out = routing.route_requests(q.requests, q.audited, DAY)
-    return out.select("id_email", "outcome", "label", F.round("quoted_total", 1).alias("quoted_total"))
+    return out.select("id_email", "outcome", "label", "quoted_total")
 
 
 @query("rebuilt_quotes", "SELECT id_email, line_no, id_rota FROM rq_decided WHERE outcome='cotado'")

@@ -35,7 +35,7 @@ def _(t):
     _finish(quotes.start_quote_stream(quotes.dedupe_stream(_feed(t)), loader, out, f"{out}/checkpoint", DAY))
     decisions = t.spark.read.parquet(f"{out}/decisions")
     return decisions.groupBy("outcome").agg(
-        F.count("*").alias("n"), F.round(F.coalesce(F.sum(F.round("quoted_total", 1)), F.lit(0.0)), 0).alias("total")
+        F.count("*").alias("n"), F.round(F.coalesce(F.sum("quoted_total"), F.lit(0.0)), 0).alias("total")
     )
 
 

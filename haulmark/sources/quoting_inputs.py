@@ -47,7 +47,7 @@ def derive_tariffs(spark: SparkSession, folder: str) -> DataFrame:
         (50 + n % 60).cast("double").alias("frete_minimo"),
         F.when(fault == 10, 90.0).otherwise((n % 9).cast("double")).alias("pedagio_por_volume"),
         F.when(fault == 1, gris * 100).otherwise(gris).alias("gris_percentual"),
-        F.lit(0.2).alias("advalorem_percentual"),
+        F.lit(0.2003).alias("advalorem_percentual"),
         F.when(n % 3 == 0, 15.0).otherwise(0.0).alias("taxa_entrega_dificil"),
         F.when(n % 13 != 0, (30 + n % 50).cast("double")).alias("peso_maximo_volume_kg"),
         F.when(fault == 9, 60).otherwise((1 + n % 10).cast("int")).alias("prazo_dias"),
