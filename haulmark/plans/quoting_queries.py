@@ -9,6 +9,7 @@ from haulmark.functions import hashing, numbers, requests, text, times
 from haulmark.operators import audit_log, centroids, cities, routing, tariffs
 from haulmark.plans.ctes import define
 from haulmark.plans.registry import query
+from haulmark.session import reliable_checkpoint
 from haulmark.sources import quoting_inputs as inputs
 from haulmark.sources.tariffs import load_tariffs, map_columns
 
@@ -103,12 +104,13 @@ class _Q:
 
     def __init__(self, t):
         self.t = t
-        self.tariffs = inputs.derive_tariffs(t.spark, t.folder)
+        # The audit and the lookups read the tariffs many times, so they are written once.
+        self.tariffs = reliable_checkpoint(inputs.derive_tariffs(t.spark, t.folder))
         self.requests = inputs.derive_requests(t.table("events"))
 
     @property
     def audited(self):
-        return tariffs.apply_quarantine(self.tariffs, tariffs.audit_tariffs(self.tariffs))
+        return reliable_checkpoint(tariffs.apply_quarantine(self.tariffs, tariffs.audit_tariffs(self.tariffs)))
 
 
 @query("tariff_rows", """SELECT line_no, id_rota, cidade_origem, uf_origem, cidade_destino, uf_destino, valor_por_volume, frete_minimo,

@@ -14,6 +14,7 @@ from haulmark.config import QuotingConfig
 from haulmark.functions.requests import VOLUME
 from haulmark.operators.routing import route_requests
 from haulmark.operators.tariffs import apply_quarantine, audit_tariffs, fingerprint
+from haulmark.session import reliable_checkpoint
 
 REQUEST_SCHEMA = (
     "id_email long, thread_id long, ts timestamp, remetente string, e_cotacao boolean, confianca double, origem string, "
@@ -94,8 +95,8 @@ def thread_state(df: DataFrame, watermark: str = "7 days") -> DataFrame:
 
 def with_tariffs(loader: Callable[[], DataFrame], enforce: bool = True) -> tuple[DataFrame, DataFrame]:
     """Load, audit and fingerprint the tariffs as they are now; runs once per micro-batch."""
-    tariffs = loader()
-    audited = apply_quarantine(tariffs, audit_tariffs(tariffs), enforce)
+    tariffs = reliable_checkpoint(loader())
+    audited = reliable_checkpoint(apply_quarantine(tariffs, audit_tariffs(tariffs), enforce))
     prints = fingerprint(tariffs)
     content = prints.agg(F.count("*").alias("tariffs"), F.sum(F.xxhash64("row_hash").cast("decimal(38,0)")).cast("string").alias("hash"))
     return audited, content
