@@ -22,6 +22,8 @@ BLOCK = 4096
 SETTLED = 1e-9
 #: Documents that the landing may turn over to bring the words back to their target.
 TURNS = 8
+#: Parts that the rows of one source are joined in.
+SALTS = 64
 
 
 def null_direction(a: float, b: float, c: float) -> tuple[float, float, float]:
@@ -103,6 +105,12 @@ def source_targets(sizes: DataFrame, most: float = 3.0) -> DataFrame:
     return weighed.select("source", "source_size", "place", F.least("cap", level * F.col("weight")).alias("target"))
 
 
+def by_source(rows: DataFrame, sources: DataFrame, row_key: Column, on: list[str]) -> DataFrame:
+    """Join rows to a table of sources that is repeated ``SALTS`` times: no task gets all rows of one source."""
+    salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("salt", F.pmod(row_key, F.lit(SALTS))).join(salted, [*on, "salt"]).drop("salt")
+
+
 def _draw(level: int):
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         place, block = int(key[0]), int(key[1])
@@ -129,9 +137,11 @@ def mix_sources(docs: DataFrame, most: float = 3.0, block: int = BLOCK, key: Col
     """
     key = F.lit(0).cast("long") if key is None else key
     sizes = stored(docs.select("doc_id", "source", word_count().alias("size"), key.alias("key")))
-    targets = stored(source_targets(sizes, most)).withColumnRenamed("source", "_source")
+    named = [F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")]
+    targets = stored(source_targets(sizes, most)).select(*named, "place", "source_size", "target")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    units = sizes.join(targets, F.col("source").eqNullSafe(F.col("_source"))).select(
+    rows = sizes.select("doc_id", "key", "size", *named)
+    units = by_source(rows, targets, F.xxhash64("doc_id", "key"), ["none", "name"]).select(
         "doc_id", "key", "size", "place", "source_size", "target",
         F.floor(ratio + SETTLED).alias("whole"), F.xxhash64("doc_id", "key").alias("order"),
         F.greatest(ratio - F.floor(ratio + SETTLED), F.lit(0.0)).alias("p"),
@@ -144,7 +154,7 @@ def mix_sources(docs: DataFrame, most: float = 3.0, block: int = BLOCK, key: Col
         out.append(rest.filter(~is_open))
         rest = rest.filter(is_open)
         counts = rest.groupBy("place").agg(F.ceil(F.count("*") / block).alias("blocks"))
-        dealt = rest.join(counts, "place").withColumn("block", F.pmod(F.xxhash64("order", F.lit(level)), F.col("blocks")))
+        dealt = by_source(rest, counts, F.col("order"), ["place"]).withColumn("block", F.pmod(F.xxhash64("order", F.lit(level)), F.col("blocks")))
         drawn = dealt.groupBy("place", "block").applyInPandas(_draw(level), rest.schema)
         rest, level = stored(drawn), level + 1
         if rest.filter(is_open).isEmpty():
