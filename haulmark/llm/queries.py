@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from haulmark.llm.common import bucket_of
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,3 +31,37 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     from haulmark.llm.mixing import mix_sources
 
     return mix_sources(table(spark, folder, "documents")).drop("key")
+
+
+@query("op3_quality_rules")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from haulmark.llm.rules import apply_rules
+
+    return apply_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))[0]
+
+
+@query("op4_byte_network")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from haulmark.llm.bytenet import score_quality
+
+    held_out = bucket_of("doc_id", 3) == 1
+    scored = score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"), ~held_out, ["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from haulmark.llm.toxicity import score_toxicity
+
+    held_out = bucket_of("doc_id", 5) == 0
+    scored = score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), ~held_out, ["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from haulmark.llm.langid import identify_languages
+
+    held_out = bucket_of("doc_id", 4) == 2
+    found = identify_languages(table(spark, folder, "documents"), ~held_out, ["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -31,11 +31,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def joined(texts: pa.Array, blank: bytes = b" ") -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts with one blank after each, and where each text starts (one more at the end)."""
+    """Bytes of all texts with ``blank`` after each, and where each text starts (one more at the end)."""
     texts = pc.fill_null(texts, "")
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     starts = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(sizes + 1, out=starts[1:])
+    np.cumsum(sizes + len(blank), out=starts[1:])
     sep = blank.decode()
     whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), sep)[0]
     return np.frombuffer(whole.as_buffer().to_pybytes() + blank, np.uint8), starts
