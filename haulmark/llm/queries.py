@@ -65,3 +65,31 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     held_out = bucket_of("doc_id", 4) == 2
     found = identify_languages(table(spark, folder, "documents"), ~held_out, ["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+_WORDS_SQL = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+
+
+@query(
+    "op9_repeated_passages",
+    rf"""
+    WITH w AS (SELECT doc_id, coalesce({_WORDS_SQL}, []) AS ws FROM documents),
+    win AS (
+      SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+    lo AS (SELECT k, min(doc_id) AS lowest FROM win GROUP BY k),
+    hit AS (SELECT win.doc_id, win.i FROM win JOIN lo USING (k) WHERE win.doc_id > lo.lowest),
+    gone AS (SELECT DISTINCT doc_id, i + j AS i FROM hit, range(50) t(j)),
+    word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS x FROM w),
+    kept AS (
+      SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n
+      FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+           sha256(coalesce(kept.t, '')) AS kept_sha256
+    FROM w LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from haulmark.llm.passages import cut_passages
+
+    return cut_passages(table(spark, folder, "documents"), ["doc_id"]).drop("kept_text")

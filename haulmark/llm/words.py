@@ -102,13 +102,14 @@ class SpanHashes:
     def __init__(self, h: np.ndarray, base: int) -> None:
         inverse = pow(base, -1, 1 << 64)
         with np.errstate(over="ignore"):
-            up = np.cumprod(np.concatenate([[1], np.full(len(h), base, U64)]).astype(U64), dtype=U64)
-            self.down = np.cumprod(np.concatenate([[1], np.full(len(h), inverse, U64)]).astype(U64), dtype=U64)
+            one = np.ones(1, U64)
+            up = np.cumprod(np.concatenate([one, np.full(len(h), base, U64)]), dtype=U64)
+            self.down = np.cumprod(np.concatenate([one, np.full(len(h), inverse, U64)]), dtype=U64)
             self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(h * up[:-1], dtype=U64)])
 
     def __call__(self, begin: np.ndarray, length) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mix((self.sums[begin + length] - self.sums[begin]) * self.down[begin] + U64(1) * np.asarray(length).astype(U64))
+            return mix((self.sums[begin + length] - self.sums[begin]) * self.down[begin] + np.asarray(length).astype(U64))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
