@@ -93,3 +93,27 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     from haulmark.llm.passages import cut_passages
 
     return cut_passages(table(spark, folder, "documents"), ["doc_id"]).drop("kept_text")
+
+
+@query(
+    "op10_near_duplicates",
+    rf"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, coalesce(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws
+      FROM documents),
+    sh AS (
+      SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 2], ' ')) AS s
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS hits FROM sh a JOIN sh b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+    link AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * hits >= 85 * (x.n + y.n - hits)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+    SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.c AS component_id, d.doc_id = r.c AS kept
+    FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id
+    """,
+)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from haulmark.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85)
