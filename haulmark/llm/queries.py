@@ -117,3 +117,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     from haulmark.llm.neardup import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85)
+
+
+@query("op8_packed_sequences")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from haulmark.llm.packing import pack_documents
+
+    return pack_documents(table(spark, folder, "documents"))
