@@ -124,3 +124,10 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     from haulmark.llm.packing import pack_documents
 
     return pack_documents(table(spark, folder, "documents"))
+
+
+@query("op1_nearest_vectors")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from haulmark.llm.neighbours import nearest_neighbours
+
+    return nearest_neighbours(table(spark, folder, "embeddings"), every=20)
