@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from haulmark.llm.common import stored
 
 K = 20
-FACTOR = 1.25
+FACTOR = 3.0
 SHARD = 16_384
-LEAF = 128
+LEAF = 256
 #: Queries that one task holds beside a shard, and that it takes through the tree at a time.
 QUERIES = 8192
 STEP = 512
@@ -90,29 +90,33 @@ def bounds(tree: Tree, q: np.ndarray) -> np.ndarray:
 
 
 def search(tree: Tree, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and points found for each query: leaves in the order of their bounds, until none can improve."""
+    """Distances and points found for each query: first its most promising leaf, then all leaves that may improve."""
     q = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
     k = min(k + 1, len(tree.points))  # one more, as a query may find itself
     least = bounds(tree, q)
-    turn = np.argsort(least, axis=1, kind="stable")
     near, found = np.full((len(q), k), np.inf), np.full((len(q), k), -1)
     square = (q**2).sum(axis=1)
-    alive = np.arange(len(q))
-    for step in range(len(tree.rings)):
-        leaf = turn[alive, step]
-        # Bounds rise along the turn, so a query that can skip this leaf can skip all that follow.
-        on = factor * least[alive, leaf] <= near[alive, -1] + 1e-9
-        alive, leaf = alive[on], leaf[on]
-        if not len(alive):
-            break
-        for x in np.unique(leaf):
-            rows, (a, b) = alive[leaf == x], tree.leaf_at[x : x + 2]
-            part = tree.lifted[a:b]
-            d = np.sqrt(np.maximum(square[rows][:, None] + (part**2).sum(axis=1) - 2 * q[rows] @ part.T, 0))
-            all_d = np.concatenate([near[rows], d], axis=1)
-            all_i = np.concatenate([found[rows], np.broadcast_to(np.arange(a, b), d.shape)], axis=1)
-            best = np.argsort(all_d, axis=1, kind="stable")[:, :k]
-            near[rows], found[rows] = np.take_along_axis(all_d, best, 1), np.take_along_axis(all_i, best, 1)
+
+    def look(x: int, rows: np.ndarray) -> None:
+        a, b = tree.leaf_at[x : x + 2]
+        part = tree.lifted[a:b]
+        d = np.sqrt(np.maximum(square[rows][:, None] + (part**2).sum(axis=1) - 2 * q[rows] @ part.T, 0))
+        better = (d < near[rows].max(axis=1)[:, None]).any(axis=1)
+        rows, d = rows[better], d[better]
+        if not len(rows):
+            return
+        all_d = np.concatenate([near[rows], d], axis=1)
+        all_i = np.concatenate([found[rows], np.broadcast_to(np.arange(a, b), d.shape)], axis=1)
+        best = np.argpartition(all_d, k - 1, axis=1)[:, :k]
+        near[rows], found[rows] = np.take_along_axis(all_d, best, 1), np.take_along_axis(all_i, best, 1)
+
+    first = least.argmin(axis=1)
+    for x in np.unique(first):
+        look(x, np.flatnonzero(first == x))
+    for x in np.argsort(least.mean(axis=0), kind="stable"):
+        rows = np.flatnonzero((first != x) & (factor * least[:, x] <= near.max(axis=1) + 1e-9))
+        if len(rows):
+            look(x, rows)
     return near, found
 
 

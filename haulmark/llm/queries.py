@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from haulmark.llm.common import bucket_of
 
@@ -131,3 +132,51 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     from haulmark.llm.neighbours import nearest_neighbours
 
     return nearest_neighbours(table(spark, folder, "embeddings"), every=20)
+
+
+def _license_sql() -> str:
+    from haulmark.llm import licenses as m
+
+    tokens = "[trim(w, '.+-') FOR w IN string_split_regex({0}, '" + m.SEPARATORS + "') IF trim(w, '.+-') <> '']"
+    order = ", ".join(f"('{name}', {i})" for i, (name, _) in enumerate(m.TEMPLATES))
+    return f"""
+    WITH v(license, word, n) AS (VALUES {m.template_rows()}), o(license, place) AS (VALUES {order}),
+    f AS (SELECT doc_id, coalesce(source, 'none') || '/' || (doc_id // 1000) || '/' || (doc_id // 50) || '/' || doc_id AS path,
+                 translate(text, '{m.UPPER}', '{m.LOWER}') AS low FROM documents),
+    df AS (SELECT word, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({tokens.format('low')})) AS word FROM f) GROUP BY word),
+    total AS (SELECT count(low) AS n FROM f),
+    idf AS (SELECT DISTINCT v.word, ln((total.n + 1) / (coalesce(df.df, 0) + 1)) + 1 AS idf FROM v CROSS JOIN total LEFT JOIN df USING (word)),
+    t0 AS (SELECT license, word, n * idf AS w FROM v JOIN idf USING (word)),
+    t AS (SELECT license, word, w / sqrt(sum(w * w) OVER (PARTITION BY license)) AS w FROM t0),
+    l AS (SELECT doc_id, path, string_split(low, chr(10)) AS ls, low FROM f WHERE regexp_matches(low, '{m.CUE}')),
+    spots AS (SELECT doc_id, path, ls, unnest(range(1, len(ls) + 1)) AS i FROM l),
+    cue AS (SELECT *, ls[i] AS said FROM spots WHERE regexp_matches(ls[i], '{m.CUE}')),
+    u AS (SELECT doc_id, path, 2 * i AS unit, said FROM cue
+          UNION ALL SELECT doc_id, path, 2 * i + 1, said || coalesce(' ' || ls[i + 1], '') FROM cue
+          UNION ALL SELECT doc_id, path, 0, low FROM l),
+    tf AS (SELECT doc_id, path, unit, word, count(*) AS tf FROM (SELECT doc_id, path, unit, unnest({tokens.format('said')}) AS word FROM u) GROUP BY ALL),
+    x AS (SELECT tf.*, tf * coalesce(idf.idf, ln(total.n + 1) + 1) AS x FROM tf CROSS JOIN total LEFT JOIN idf USING (word)),
+    len AS (SELECT doc_id, unit, sqrt(sum(x * x)) AS length FROM x GROUP BY ALL),
+    dot AS (SELECT doc_id, path, unit, license, sum(x * w) AS dot FROM x JOIN t USING (word) GROUP BY ALL),
+    best AS (SELECT doc_id, path, license AS own_license, round(dot / length, 6) AS own_score FROM dot JOIN len USING (doc_id, unit) JOIN o USING (license)
+             QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(dot / length, 6) DESC, place) = 1),
+    own AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS dir FROM best WHERE own_score >= {m.LEAST}),
+    speaks AS (SELECT dir, arg_min(own_license, path) AS dir_license FROM own GROUP BY dir),
+    d AS (SELECT doc_id, path, string_split(regexp_replace(path, '/[^/]*$', ''), '/') AS parts FROM f),
+    up AS (SELECT doc_id, k, array_to_string(parts[1:k], '/') AS dir FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM d)),
+    near AS (SELECT doc_id, arg_max(dir, k) AS dir, arg_max(dir_license, k) AS dir_license FROM up JOIN speaks USING (dir) GROUP BY doc_id)
+    SELECT d.doc_id, d.path, own.own_license, own.own_score, coalesce(own.own_license, near.dir_license) AS license,
+           CASE WHEN own.own_license IS NULL THEN near.dir END AS from_dir
+    FROM d LEFT JOIN own USING (doc_id) LEFT JOIN near USING (doc_id)
+    """
+
+
+@query("op5_licenses", _license_sql())
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents have no paths: source and hundreds of ids stand for directories."""
+    from haulmark.llm.licenses import scan_licenses
+
+    docs = table(spark, folder, "documents")
+    step = lambda n: F.expr(f"CAST(doc_id DIV {n} AS STRING)")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), step(1000), step(50), F.col("doc_id").cast("string"))
+    return scan_licenses(docs.select("doc_id", "text", path.alias("path")))
