@@ -90,8 +90,8 @@ def minima(value: np.ndarray, first: np.ndarray, many: int) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
-    """``doc_id, n_shingles, node, bands, signature`` per document; ``node`` is null for an empty set.
+def signatures(docs: DataFrame, shingle: int, bands: int, keep: list[str]) -> DataFrame:
+    """``keep``, ``n_shingles, node, bands, signature`` per document; ``node`` is null for an empty set.
 
     The signature keeps one byte of each minimum, which is enough to tell close sets from others.
     """
@@ -117,7 +117,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
         }
 
     schema = "n_shingles long, node long, bands array<long>, signature binary"
-    return over_text(docs, score, schema, ["doc_id"])
+    return over_text(docs, score, schema, keep)
 
 
 def stars(sigs: DataFrame) -> DataFrame:
@@ -254,8 +254,8 @@ def links_inside_stars(overlaps: DataFrame, roots: DataFrame, percent: int) -> D
     return paired.applyInPandas(_block_links(percent), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of each document.
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, more: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of each document, and its columns ``more``.
 
     Words are lower-cased in A-Z. Two documents are linked when 100 * shared shingles >= ``percent``
     * all shingles of both; a component is what links reach, named by its smallest doc_id, and
@@ -265,20 +265,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     threshold is missed with probability ``MISS`` at most by the bands; everything after them is exact.
     """
     bands = bands_for(percent)
-    sigs = stored(signatures(docs, shingle, bands))
+    sigs = stored(signatures(docs, shingle, bands, ["doc_id", *more]))
     pairs = stored(alike_by_signature(stars(sigs), sigs, percent))
     sets = stored(full_sets(docs, sigs, pairs, shingle))
     overlaps = stored(star_overlaps(pairs, sets))
     linked = overlaps.filter(F.col("overlap") * 100 >= F.col("united") * percent)
     edges = linked.select(F.col("centre").alias("a"), F.col("node").alias("b"))
     roots = components(edges)
-    more = stored(links_inside_stars(overlaps, roots, percent))
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    across = stored(links_inside_stars(overlaps, roots, percent))
+    if not across.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across))
     classes = sigs.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("_lowest"))
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("_lowest").alias("component_id"))
     named = rooted.join(lowest, "root").select("node", "component_id")
-    out = sigs.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    out = sigs.select("doc_id", *more, "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", *more, "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
