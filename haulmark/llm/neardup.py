@@ -135,7 +135,8 @@ def stars(sigs: DataFrame) -> DataFrame:
 
 def alike_by_signature(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose signatures do not rule them out."""
-    one = sigs.groupBy("node").agg(F.min("signature").alias("signature"))
+    # Written first, so that Spark can split the rows of one centre when it joins.
+    one = stored(sigs.filter("node IS NOT NULL").groupBy("node").agg(F.min("signature").alias("signature")))
     with_node = pairs.join(one.withColumnRenamed("signature", "_s"), "node")
     both = with_node.join(one.select(F.col("node").alias("centre"), F.col("signature").alias("_c")), "centre")
     many = bands_for(percent) * ROWS
