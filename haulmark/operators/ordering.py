@@ -12,20 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulmark.session import input_bytes, reliable_checkpoint
-
-SMALL_BYTES = 256 * 1024 * 1024
-QUANTILE_BYTES = 8 * 1024**3
-
-
-def _limit(df: DataFrame, key: str, default: int) -> int:
-    return int(df.sparkSession.conf.get(key, str(default)))
-
-
-def is_small(df: DataFrame) -> bool:
-    """True when all inputs together fit one task; ``haulmark.smallBytes`` sets the bound."""
-    return input_bytes(df) <= _limit(df, "haulmark.smallBytes", SMALL_BYTES)
-
+from haulmark.session import reliable_checkpoint
 
 def prefix_sums(df: DataFrame, order: list, sums: list[str], by: list[str] = ()) -> DataFrame:
     """Add ``before_<c>``: the sum of ``c`` over the rows that precede in the order.
@@ -39,10 +26,6 @@ def prefix_sums(df: DataFrame, order: list, sums: list[str], by: list[str] = ())
         zero = F.lit(0)
         return {f"{prefix}{c}": F.coalesce(F.sum(c).over(frame), zero) for c in sums}
 
-    if is_small(df):
-        key = by or [F.lit(0)]
-        return df.withColumns(before(Window.partitionBy(*key).orderBy(*order).rowsBetween(*earlier), "before_"))
-
     placed = reliable_checkpoint(
         df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_part", F.spark_partition_id())
     )
@@ -62,9 +45,6 @@ def prefix_sums(df: DataFrame, order: list, sums: list[str], by: list[str] = ())
 
 def row_numbers(df: DataFrame, order: list, name: str = "row_no") -> DataFrame:
     """Zero-based position in a total order."""
-    if is_small(df):
-        frame = Window.partitionBy(F.lit(0)).orderBy(*order)
-        return df.withColumn(name, (F.row_number().over(frame) - 1).cast("long"))
     placed = reliable_checkpoint(
         df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     )
@@ -83,26 +63,23 @@ def summarise(
 ) -> DataFrame:
     """Group and aggregate, with exact linearly interpolated quantiles.
 
-    The built-in percentile keeps every distinct value of a group in one task. Above
-    ``haulmark.quantileBytes`` of input the values are counted, ordered by range partitions
-    and read off at the wanted positions instead; the result is the same.
+    The built-in percentile would keep every distinct value of a group in one task. Here values
+    are counted, ordered by range partitions and read off at the wanted positions, whatever the
+    size of the input. A group without any value keeps its row, with null quantiles.
     """
     quantiles = quantiles or {}
-    plain = [c.alias(n) for n, c in aggs.items()]
-    if not quantiles or input_bytes(df) <= _limit(df, "haulmark.quantileBytes", QUANTILE_BYTES):
-        exact = [F.percentile(F.col(c).cast("double"), F.lit(float(p))).alias(n) for n, (c, p) in quantiles.items()]
-        out = df.groupBy(*by).agg(*plain, *exact)
-        return out.select(*by, *aggs, *quantiles)
-    out = _sorted_quantiles(df, by, quantiles)
-    if plain:
-        left = df.groupBy(*by).agg(*plain)
-        if by:
-            right = out.select(*[F.col(b).alias("_k_" + b) for b in by], *quantiles)
-            same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col("_k_" + b)) for b in by])
-            out = left.join(right, same, "left")
-        else:
-            out = left.select("*", *[out.select(q).scalar().alias(q) for q in quantiles])
-    return out.select(*by, *aggs, *quantiles)
+    left = df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()]) if aggs else df.select(*by).distinct()
+    if not quantiles:
+        return left.select(*by, *aggs)
+    found = _sorted_quantiles(df, by, quantiles)
+    if by:
+        right = found.select(*[F.col(b).alias("_k_" + b) for b in by], *quantiles)
+        same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col("_k_" + b)) for b in by])
+        return left.join(right, same, "left").select(*by, *aggs, *quantiles)
+    if not aggs:
+        return found.select(*quantiles)
+    one = found.select(F.struct(*quantiles)).scalar()
+    return left.select(*aggs, *[one[q].alias(q) for q in quantiles])
 
 
 def _sorted_quantiles(df: DataFrame, by: list[str], quantiles: dict[str, tuple[str, float]]) -> DataFrame:

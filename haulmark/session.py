@@ -54,8 +54,3 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files and tables under a plan: the sum over its leaves."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))

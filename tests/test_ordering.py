@@ -1,4 +1,4 @@
-"""The large-data paths give what the small ones give."""
+"""Order-dependent operators against pandas."""
 
 import numpy as np
 import pandas as pd
@@ -18,34 +18,32 @@ def scattered(spark):
     )
 
 
-@pytest.fixture()
-def large(spark):
-    """Send every operator down the path for data that one task cannot hold."""
-    spark.conf.set("haulmark.smallBytes", "0")
-    spark.conf.set("haulmark.quantileBytes", "0")
-    yield
-    spark.conf.unset("haulmark.smallBytes")
-    spark.conf.unset("haulmark.quantileBytes")
-
-
-def test_quantiles(spark, scattered, large):
+def test_quantiles(spark, scattered):
     out = ordering.summarise(scattered, ["g"], {"n": F.count("*")}, {"a": ("v", 0.5), "b": ("v", 0.9)}).toPandas().set_index("g")
     data = scattered.toPandas().groupby("g")["v"]
     assert np.allclose(out["a"].sort_index(), data.quantile(0.5)) and np.allclose(out["b"].sort_index(), data.quantile(0.9))
 
 
-def test_global_quantiles(spark, scattered, large):
+def test_global_quantiles(spark, scattered):
     row = ordering.summarise(scattered, [], {"n": F.count("*")}, {"a": ("v", 0.25)}).first()
     assert (row.n, row.a) == (3000, pytest.approx(scattered.toPandas()["v"].quantile(0.25)))
 
 
-def test_row_numbers(spark, scattered, large):
+def test_a_group_without_values_keeps_its_row(spark):
+    df = spark.createDataFrame([(0, None), (1, 1.0), (1, 2.0), (None, 3.0)], "g int, v double")
+    for aggs in ({}, {"n": F.count("*")}):
+        got = {r.g: r.q for r in ordering.summarise(df, ["g"], aggs, {"q": ("v", 0.6)}).collect()}
+        assert got == {0: None, 1: pytest.approx(1.6), None: 3.0}
+    assert ordering.summarise(df.filter("g = 0"), [], {"n": F.count("*")}, {"q": ("v", 0.5)}).first().asDict() == {"n": 1, "q": None}
+
+
+def test_row_numbers(spark, scattered):
     out = ordering.row_numbers(scattered, ["v", "id"]).toPandas().sort_values("row_no")
     want = scattered.toPandas().sort_values(["v", "id"])
     assert list(out["id"]) == list(want["id"]) and list(out["row_no"]) == list(range(3000))
 
 
-def test_temporal_split(spark, scattered, large):
+def test_temporal_split(spark, scattered):
     got = ordering.temporal_split(scattered, ["v", "id"]).toPandas().sort_values(["v", "id"])
     assert list(got["split"]) == ["train"] * 2100 + ["calib"] * 450 + ["test"] * 450
 
@@ -57,7 +55,7 @@ def _auc(p, y):
     return (ranks[pos].sum() - n * (n + 1) / 2) / (n * (~pos).sum())
 
 
-def test_auc(spark, scattered, large):
+def test_auc(spark, scattered):
     pdf = scattered.toPandas()
     assert ev.roc_auc(scattered, "v", "y").first().auc == pytest.approx(_auc(pdf["v"], pdf["y"].to_numpy()))
     groups = {r.g: r.auc for r in ev.roc_auc(scattered, "v", "y", ["g"]).collect()}
@@ -65,7 +63,7 @@ def test_auc(spark, scattered, large):
         assert groups[g] == pytest.approx(_auc(part["v"].reset_index(drop=True), part["y"].to_numpy()))
 
 
-def test_spearman(spark, scattered, large):
+def test_spearman(spark, scattered):
     pdf = scattered.toPandas()
     want = pdf["v"].rank().corr(pdf["y"].rank())
     assert ordering.spearman(scattered, "v", "y").first().spearman == pytest.approx(want)
