@@ -111,17 +111,19 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, small: int = MINIMIZER)
     met = runs.groupBy("minimizer").agg(
         F.min("doc").alias("lowest"), F.max("doc").alias("_hi"), (F.min("path") != F.max("path")).alias("branches")
     )
-    met = met.filter(F.col("lowest") < F.col("_hi")).drop("_hi")
+    # Summaries are written before they are joined: then Spark can split the rows of a hot key.
+    met = stored(met.filter(F.col("lowest") < F.col("_hi")).drop("_hi"))
     shared = stored(runs.join(met, "minimizer"))
     plain = shared.filter(~F.col("branches") & (F.col("doc") > F.col("lowest")))
     branching = shared.filter("branches").drop("branches", "lowest")
-    paths = branching.groupBy("minimizer", "path").agg(F.min("doc").alias("lowest"))
+    paths = stored(branching.groupBy("minimizer", "path").agg(F.min("doc").alias("lowest")))
     split = stored(branching.join(paths, ["minimizer", "path"]).select("doc", "key", "begin", "edges", (F.col("doc") > F.col("lowest")).alias("again")))
     leading = stored(per_text(split.filter(~F.col("again"))))
     near, _ = maybe_in(keyed(docs), leading, "doc", "key")
     texts = near.join(leading, ["doc", "key"]).select("doc", "key", "text", "runs")
     edges = stored(open_edges(texts, window))
-    twice = edges.groupBy("e1", "e2").agg(F.min("doc").alias("lowest"), F.max("doc").alias("_hi")).filter("lowest < _hi").drop("_hi")
+    twice = edges.groupBy("e1", "e2").agg(F.min("doc").alias("lowest"), F.max("doc").alias("_hi"))
+    twice = stored(twice.filter("lowest < _hi").drop("_hi"))
     single = edges.join(twice, ["e1", "e2"]).filter(F.col("doc") > F.col("lowest"))
     columns = ["doc", "key", "begin", "edges"]
     return (
