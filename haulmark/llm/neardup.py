@@ -124,18 +124,19 @@ def stars(sigs: DataFrame) -> DataFrame:
     """``centre, node``: for each bucket of at least two classes, its centre and every other member."""
     entries = sigs.filter("node IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
     met = entries.groupBy("bucket").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.count("*").alias("size"))
-    met = met.filter("_lo < _hi").select("bucket", "size")
+    # Summaries are written before they are joined: then Spark can split the rows of a hot key.
+    met = stored(met.filter("_lo < _hi").select("bucket", "size"))
     # Copies of one text bring the same entry many times; a class counts once from here on.
     inside = stored(entries.join(met, "bucket").distinct())
-    weight = inside.groupBy("node").agg(F.sum("size").alias("weight"))
+    weight = stored(inside.groupBy("node").agg(F.sum("size").alias("weight")))
     weighed = stored(inside.select("bucket", "node").join(weight, "node"))
-    centres = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("_c")).select("bucket", F.col("_c.node").alias("centre"))
+    centres = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("_c"))
+    centres = stored(centres.select("bucket", F.col("_c.node").alias("centre")))
     return weighed.join(centres, "bucket").filter("centre != node").select("centre", "node").distinct()
 
 
 def alike_by_signature(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose signatures do not rule them out."""
-    # Written first, so that Spark can split the rows of one centre when it joins.
     one = stored(sigs.filter("node IS NOT NULL").groupBy("node").agg(F.min("signature").alias("signature")))
     with_node = pairs.join(one.withColumnRenamed("signature", "_s"), "node")
     both = with_node.join(one.select(F.col("node").alias("centre"), F.col("signature").alias("_c")), "centre")
@@ -238,9 +239,9 @@ def links_inside_stars(overlaps: DataFrame, roots: DataFrame, percent: int) -> D
         F.count("*").alias("all"), F.sum(F.col("open").cast("long")).alias("opened"),
         (F.min("root") != F.max("root")).alias("apart"),
     )
-    sizes = sizes.filter("opened > 0 AND apart").select(
+    sizes = stored(sizes.filter("opened > 0 AND apart").select(
         "centre", F.ceil(F.col("all") / BLOCK).alias("parts"), F.ceil(F.col("opened") / BLOCK).alias("open_parts")
-    )
+    ))
     placed = members.join(sizes, "centre")
     own = F.xxhash64("node", F.lit(5))
 
@@ -279,7 +280,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     classes = sigs.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("_lowest"))
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("_lowest").alias("component_id"))
-    named = rooted.join(lowest, "root").select("node", "component_id")
+    named = stored(rooted.join(lowest, "root").select("node", "component_id"))
     out = sigs.select("doc_id", *more, "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", *more, "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
