@@ -101,5 +101,11 @@ def missing_fields(require_weight: bool = True, packages=None) -> Column:
 
 
 def parse_extraction(json, schema: str = EXTRACTION) -> Column:
-    """Stored extraction as a struct; text that is no JSON gives a struct of nulls."""
-    return F.from_json(col_of(json), schema, {"mode": "PERMISSIVE"})
+    """Stored extraction as a struct; text that is no JSON gives a struct of nulls, but for a confidence of 0."""
+    parsed = F.from_json(col_of(json), schema, {"mode": "PERMISSIVE"})
+    return F.when(parsed.isNotNull(), parsed.withField("confianca", confidence(parsed["confianca"])))
+
+
+def confidence(value="confianca") -> Column:
+    """A confidence that is not given, or no number, counts as none at all."""
+    return F.coalesce(F.nanvl(col_of(value), F.lit(0.0)), F.lit(0.0))

@@ -9,6 +9,7 @@ from haulmark.config import QuotingConfig
 from haulmark.functions.base import flag
 from haulmark.functions.geo import haversine_km
 from haulmark.functions.requests import (
+    confidence,
     effective_packages,
     is_ignored_sender,
     missing_fields,
@@ -71,10 +72,10 @@ def route_registered(requests: DataFrame, tariffs: DataFrame) -> DataFrame:
 def quarantine_reason(requests: DataFrame, audited: DataFrame) -> DataFrame:
     """Why a requested route stopped being priced: distinct block reasons, sorted."""
     blocked = match_routes(requests, audited.filter("quarantined"))
-    return blocked.groupBy("origin_norm", "dest_norm").agg(
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("block_reason", "; "))))), "; ").alias(
-            "quarantine_reason"
-        )
+    # A set of whole findings: the rows of one route in the tariff table.
+    each = blocked.select("origin_norm", "dest_norm", F.explode("block_reasons").alias("reason"))
+    return each.groupBy("origin_norm", "dest_norm").agg(
+        F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("quarantine_reason")
     )
 
 
@@ -146,27 +147,27 @@ _MERGED_NUMBERS = ["qtd_volumes", "valor_nf", "peso_kg", "m3_informado"]
 _MERGED_TEXTS = ["origem", "destino", "modal"]
 
 
-def merge_thread(requests: DataFrame) -> DataFrame:
+def merge_thread(requests: DataFrame, own_address: str = DEFAULT.own_address) -> DataFrame:
     """Each message completed by what its thread said before.
 
     A field given now wins, otherwise the last one given; confidence is the highest so far
     and the request mark stays once set. Only messages marked as quote requests take over
-    earlier fields. One thread is a conversation of one customer, so the window per thread
+    earlier fields. Messages of robots and our own are passed through as they are and tell
+    the thread nothing. One thread is a conversation of one customer, so the window per thread
     is bounded by what a person writes.
     """
     frame = (
         Window.partitionBy("thread_id").orderBy("ts", "id_email").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    heard = ~is_ignored_sender("remetente", own_address)
+    takes = F.col("e_cotacao") & heard
+    given = {c: F.col(c) != 0 for c in _MERGED_NUMBERS} | {c: F.col(c) != "" for c in _MERGED_TEXTS} | {"volumes": F.size("volumes") > 0}
     cols = {}
-    for c in _MERGED_NUMBERS:
-        given = F.when(F.col(c) != 0, F.col(c))
-        cols[c] = F.when(F.col("e_cotacao"), F.coalesce(F.last(given, True).over(frame), F.col(c))).otherwise(F.col(c))
-    for c in _MERGED_TEXTS:
-        given = F.when(F.col(c) != "", F.col(c))
-        cols[c] = F.when(F.col("e_cotacao"), F.coalesce(F.last(given, True).over(frame), F.col(c))).otherwise(F.col(c))
-    listed = F.when(F.size("volumes") > 0, F.col("volumes"))
-    cols["volumes"] = F.when(F.col("e_cotacao"), F.coalesce(F.last(listed, True).over(frame), F.col("volumes"))).otherwise(F.col("volumes"))
-    cols["confianca"] = F.when(F.col("e_cotacao"), F.max("confianca").over(frame)).otherwise(F.col("confianca"))
+    for c, present in given.items():
+        newest = F.last(F.when(heard & present, F.col(c)), True).over(frame)
+        cols[c] = F.when(takes, F.coalesce(newest, F.col(c))).otherwise(F.col(c))
+    most = F.max(F.when(heard, confidence())).over(frame)
+    cols["confianca"] = F.when(takes, most).otherwise(F.col("confianca"))
     return requests.withColumns(cols)
 
 
@@ -189,7 +190,8 @@ def route_requests(
         df = df.join(seen, "id_email", "left").withColumn("_seen", F.coalesce("_s", F.lit(False))).drop("_s")
 
     c = F.col
-    confidence = F.format_string("%.2f", "confianca")
+    sure = confidence()
+    shown = F.format_string("%.2f", sure)
     place = F.concat(F.lit("trecho "), "origem", F.lit(" -> "), "destino")
     both = flag((F.coalesce("origem", F.lit("")) != "") & (F.coalesce("destino", F.lit("")) != ""))
     no_tariff = both & c("tariff").isNull()
@@ -202,17 +204,17 @@ def route_requests(
         text = F.lit(None).cast("string") if reason is None else reason
         return F.struct(F.lit(outcome).alias("outcome"), text.alias("reason"))
 
-    low = F.concat(F.lit("confianca "), confidence, F.lit(f" abaixo de {cfg.confidence_to_ask}"))
-    unsure = F.concat(F.lit("confianca "), confidence, F.lit(f" abaixo de {cfg.confidence_to_quote} para emitir preco"))
+    low = F.concat(F.lit("confianca "), shown, F.lit(f" abaixo de {cfg.confidence_to_ask}"))
+    unsure = F.concat(F.lit("confianca "), shown, F.lit(f" abaixo de {cfg.confidence_to_quote} para emitir preco"))
     decided = (
         F.when(c("_seen"), step("ignorado"))
         .when(is_ignored_sender("remetente", cfg.own_address), step("ignorado"))
         .when(~flag(c("e_cotacao")), step("ignorado"))
-        .when(c("confianca") < cfg.confidence_to_ask, step("erro", low))
+        .when(sure < cfg.confidence_to_ask, step("erro", low))
         .when(no_tariff & c("registered"), step("erro", unpriced))
         .when(no_tariff, step("sem_rota"))
         .when(F.size("missing") > 0, step("incompleto"))
-        .when(c("confianca") < cfg.confidence_to_quote, step("erro", unsure))
+        .when(sure < cfg.confidence_to_quote, step("erro", unsure))
     )
     if cfg.pricing == "historico":
         road = F.coalesce(F.nullif("mode_norm", F.lit("")), c("tariff.modal")) == cfg.default_mode

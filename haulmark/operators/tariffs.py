@@ -220,13 +220,14 @@ def audit_tariffs(tariffs: DataFrame) -> DataFrame:
 
 
 def apply_quarantine(tariffs: DataFrame, findings: DataFrame, enforce: bool = True) -> DataFrame:
-    """Mark blocked rows and attach their reasons; in report mode nothing is blocked."""
+    """Mark blocked rows and attach their reasons, whole and joined; in report mode nothing is blocked."""
     where = F.concat(F.lit("linha "), F.col("line_no"), F.lit(" "), F.coalesce(F.nullif("id_rota", F.lit("")), F.lit("sem id_rota")))
     reasons = (
         findings.filter(F.col("severity") == BLOCK)
         .select("line_no", F.concat(where, F.lit(" | "), "field", F.lit(": "), "message").alias("reason"))
         .groupBy("line_no")
-        .agg(F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("block_reason"))
+        .agg(F.array_sort(F.collect_set("reason")).alias("block_reasons"))
+        .withColumn("block_reason", F.array_join("block_reasons", "; "))
     )
     out = tariffs.join(reasons, "line_no", "left")
     return out.withColumn("quarantined", F.col("block_reason").isNotNull() & F.lit(enforce))

@@ -270,17 +270,17 @@ def _(t):
 
 @query("delay_bootstrap")
 def _(t):
-    out = ev.bootstrap_auc_delta(_delay(t), "p", "q", "y", replicates=200)
+    out = ev.bootstrap_auc_delta(_delay(t), "p", "q", "y")
     return out.select("replicates", *[F.round(c, 3).alias(c) for c in ("delta_pp", "low_pp", "high_pp")], "includes_zero")
 
 
 _SEG = "CAST(quantity_items+CASE WHEN distance_km>2000 THEN 10 ELSE 0 END AS INT)"
-define("sg_rows", f"SELECT *, {_SEG} segment FROM sh_segment WHERE quantity_items<=3")
+define("sg_rows", f"SELECT *, {_SEG} segment FROM sh_segment")
 
 
 def _segmented(t):
     far = F.when(F.col("distance_km") > 2000, 10).otherwise(0)
-    return deliveries.build_segment_shipments(t.star).filter("quantity_items <= 3").withColumn(
+    return deliveries.build_segment_shipments(t.star).withColumn(
         "segment", (F.col("quantity_items") + far).cast("int")
     )
 

@@ -29,27 +29,27 @@ def _sides(t):
 @query("price_band")
 def _(t):
     train, calib, test = _sides(t)
-    band = price_model.fit_price_band(train, calib, rounds=10, depth=4)
+    band = price_model.fit_price_band(train, calib)
     return band.transform(test).select(*KEYS, *[F.round(c, 2).alias(c) for c in ("p25", "p50", "p75")])
 
 
 @query("price_split_optimism")
 def _(t):
-    return price_model.leakage_check(_split_shipments(t), rounds=5, depth=4)
+    return price_model.leakage_check(_split_shipments(t))
 
 
 @query("structural_outliers")
 def _(t):
     df = prepare_features(reliable_checkpoint(deliveries.build_shipments(t.star)))
-    forest = price_model.fit_isolation(df, OUTLIER_INPUTS, KEYS, trees=50)
+    forest = price_model.fit_isolation(df, OUTLIER_INPUTS, KEYS)
     return forest.transform(df).select(*KEYS, F.round("structural_score", 4).alias("structural_score"), "structural_outlier")
 
 
 @query("model_quotes")
 def _(t):
     train, calib, _ = _sides(t)
-    band = price_model.fit_price_band(train, calib, rounds=5, depth=4)
-    forest = price_model.fit_isolation(prepare_features(train), OUTLIER_INPUTS, KEYS, trees=20)
+    band = price_model.fit_price_band(train, calib)
+    forest = price_model.fit_isolation(prepare_features(train), OUTLIER_INPUTS, KEYS)
     q = _Q(t)
     asked = routing.with_route_status(q.requests, q.audited, DAY).filter("tariff IS NOT NULL")
     out = price_model.price_model(asked, centroids.zip_centroids(t.star.geo, "median"), band, forest, month=7)
@@ -72,26 +72,26 @@ def _delay_sides(t):
 @query("delay_scores")
 def _(t):
     train, test = _delay_sides(t)
-    model = delay_ops.fit_delay(train, rounds=10, depth=4)
+    model = delay_ops.fit_delay(train)
     return delay_ops.score(model, test, "p").select("order_id", "y", F.round("p", 4).alias("p"))
 
 
 @query("delay_model_line_up")
 def _(t):
-    table, _ = delay_ops.compare_delay_models(*_delay_sides(t), rounds=5, trees=10)
+    table, _ = delay_ops.compare_delay_models(*_delay_sides(t))
     return table
 
 
 @query("delay_leak_proofs")
 def _(t):
-    return delay_ops.leak_proofs(_delay_split(t), rounds=5)
+    return delay_ops.leak_proofs(_delay_split(t))
 
 
 @query("delay_permutation_importance")
 def _(t):
     train, test = _delay_sides(t)
-    model = delay_ops.fit_delay(train, rounds=5, depth=4)
-    return delay_ops.permutation_importance(model, test, ["promised_days", "distance_km", "branch"])
+    model = delay_ops.fit_delay(train)
+    return delay_ops.permutation_importance(model, test)
 
 
 @query("delay_setting_sensitivity")
@@ -102,25 +102,25 @@ def _(t):
 @query("segment_k_sweep")
 def _(t):
     _, scaled = segments.scale(_segment_shipments(t))
-    return segments.sweep_k(scaled, 2, 5, starts=1)
+    return segments.sweep_k(scaled)
 
 
 @query("shipment_segments")
 def _(t):
     df = _segment_shipments(t)
-    return segments.segment(df, k=4, starts=1).transform(df).select(*KEYS, "segment")
+    return segments.segment(df, k=4).transform(df).select(*KEYS, "segment")
 
 
 @query("segment_stability")
 def _(t):
     df = _segment_shipments(t)
-    return segments.stability_ari(df, segments.segment(df, k=3, starts=1), KEYS, replicas=2)
+    return segments.stability_ari(df, segments.segment(df, k=3), KEYS)
 
 
 @query("segment_centers")
 def _(t):
     df = _segment_shipments(t)
-    return segments.segment_centers(segments.segment(df, k=4, starts=1), t.spark)
+    return segments.segment_centers(segments.segment(df, k=4), t.spark)
 
 
 @query("segment_pca")

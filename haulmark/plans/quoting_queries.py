@@ -17,9 +17,9 @@ DAY = "2024-07-01"
 
 define("tf_tariffs", """
 WITH p AS (SELECT DISTINCT l_suppkey s, o_custkey%25 b FROM lineitem JOIN orders ON l_orderkey=o_orderkey),
-n AS (SELECT p.*, s_nationkey a, s*25+b n, unnest(CASE WHEN (s*25+b)%50=7 THEN [0,1000000] ELSE [0] END) x
+n AS (SELECT p.*, s_nationkey a, s*25+b n, unnest(CASE WHEN (s*25+b)%50=7 THEN [0,1099511627776] ELSE [0] END) x
  FROM p JOIN supplier ON s_suppkey=s)
-SELECT CAST(n+x AS INT) line_no, CASE WHEN n%50=11 THEN NULL WHEN n%50=6 THEN 'R'||(n-1) ELSE 'R'||n END id_rota,
+SELECT CAST(n+x AS BIGINT) line_no, CASE WHEN n%50=11 THEN NULL WHEN n%50=6 THEN 'R'||(n-1) ELSE 'R'||n END id_rota,
  'HUB '||s cidade_origem, CASE WHEN n%50=5 THEN 'XXX' ELSE 'N'||chr(CAST(65+a AS INT)) END uf_origem,
  'CITY '||b cidade_destino, 'N'||chr(CAST(65+b AS INT)) uf_destino,
  CASE WHEN n%50=2 THEN 0.0 ELSE (10+(s*7+b*3)%40) END::DOUBLE valor_por_volume, (50+n%60)::DOUBLE frete_minimo,
@@ -63,7 +63,7 @@ define("tf_live", f"""SELECT * FROM tf_tariffs WHERE line_no NOT IN (SELECT line
 AND DATE '{DAY}'>=coalesce(vigencia_inicio,DATE '{DAY}') AND DATE '{DAY}'<=coalesce(vigencia_fim,DATE '{DAY}')""")
 define("rq_raw", """
 SELECT event_id id_email, user_id thread_id, ts, CASE WHEN event_id%41=0 THEN NULL WHEN event_id%37=0 THEN 'noreply@loja.com'
- ELSE 'user'||user_id||'@cliente.com' END remetente, event_type<>'error' e_cotacao, (event_id%101)/100.0::DOUBLE confianca,
+ ELSE 'user'||user_id||'@cliente.com' END remetente, event_type<>'error' e_cotacao, CASE WHEN event_id%43<>0 THEN (event_id%101)/100.0::DOUBLE END confianca,
  CASE WHEN event_id%31<>0 THEN 'Hub '||((event_id*7)%120) END origem,
  CASE WHEN event_id%19=0 THEN NULL WHEN event_id%3=0 THEN 'city '||(event_id%25)
   WHEN event_id%3=1 THEN 'City '||(event_id%25)||' - n'||chr(CAST(97+event_id%25 AS INT))
@@ -91,11 +91,11 @@ SELECT r.*, t.line_no, t.id_rota, t.modal tariff_modal, t.peso_maximo_volume_kg,
  valor_nf*(gris_percentual+advalorem_percentual)/100 charge FROM rq_requests r LEFT JOIN rq_tariff t USING(id_email)""")
 define("rq_decided", """
 SELECT *, CASE WHEN coalesce(remetente,'')='' OR remetente LIKE '%noreply%' OR NOT e_cotacao THEN 'ignorado'
- WHEN confianca<0.35 THEN 'erro'
+ WHEN coalesce(confianca,0)<0.35 THEN 'erro'
  WHEN o<>'' AND d<>'' AND line_no IS NULL AND (o,d) IN (SELECT o,d FROM rq_any) THEN 'erro'
  WHEN o<>'' AND d<>'' AND line_no IS NULL THEN 'sem_rota'
  WHEN o='' OR d='' OR packages IS NULL OR coalesce(valor_nf,0)<=0 OR coalesce(peso_kg,0)<=0 THEN 'incompleto'
- WHEN confianca<0.60 THEN 'erro' WHEN peso_kg/packages>peso_maximo_volume_kg THEN 'erro' ELSE 'cotado' END outcome,
+ WHEN coalesce(confianca,0)<0.60 THEN 'erro' WHEN peso_kg/packages>peso_maximo_volume_kg THEN 'erro' ELSE 'cotado' END outcome,
  CASE WHEN volume IS NOT NULL THEN round(applied0+charge+taxa_entrega_dificil,2) END total1 FROM rq_priced""")
 
 
@@ -324,10 +324,11 @@ def _(t):
 
 
 @query("parsed_extractions", """SELECT event_id id_email, CASE WHEN event_id%6 NOT IN (0,1) THEN CAST(event_id%9 AS INT) END qtd_volumes,
-CASE WHEN event_id%6 NOT IN (0,1) THEN 'HUB 1' END origem FROM events""")
+CASE WHEN event_id%6 NOT IN (0,1) THEN 'HUB 1' END origem,
+CASE WHEN event_id%6=1 OR event_id%60=8 THEN 0.0 WHEN event_id%6<>0 THEN 0.5 END::DOUBLE confianca FROM events""")
 def _(t):
     log = inputs.derive_log(t.table("events")).withColumn("x", requests.parse_extraction("extracao_json"))
-    return log.select("id_email", "x.qtd_volumes", "x.origem")
+    return log.select("id_email", "x.qtd_volumes", "x.origem", "x.confianca")
 
 
 @query("queue_ages", """SELECT event_id, CASE WHEN h<48 THEN CAST(round_even(h,0) AS BIGINT)||' h' ELSE CAST(round_even(h/24,0) AS BIGINT)||' dias' END age
@@ -505,16 +506,16 @@ def _(t):
 def _(t):
     q = _Q(t)
     quoted = routing.route_requests(q.requests, q.audited, DAY).filter("outcome = 'cotado'")
-    stored = F.from_json("quoted_tariff", "line_no int, id_rota string")
+    stored = F.from_json("quoted_tariff", "line_no long, id_rota string")
     return quoted.select("id_email", stored["line_no"].alias("line_no"), stored["id_rota"].alias("id_rota"))
 
 
 @query("merged_threads", """
-SELECT id_email, CASE WHEN e_cotacao THEN coalesce(last_value(CASE WHEN qtd_volumes<>0 THEN qtd_volumes END IGNORE NULLS) OVER w, qtd_volumes) ELSE qtd_volumes END qtd_volumes,
- CASE WHEN e_cotacao THEN coalesce(last_value(CASE WHEN peso_kg<>0 THEN peso_kg END IGNORE NULLS) OVER w, peso_kg) ELSE peso_kg END peso_kg,
- CASE WHEN e_cotacao THEN coalesce(last_value(destino IGNORE NULLS) OVER w, destino) ELSE destino END destino,
- CASE WHEN e_cotacao THEN max(confianca) OVER w ELSE confianca END confianca
-FROM rq_raw WINDOW w AS (PARTITION BY thread_id ORDER BY ts, id_email ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+SELECT id_email, CASE WHEN e_cotacao AND heard THEN coalesce(last_value(CASE WHEN heard AND qtd_volumes<>0 THEN qtd_volumes END IGNORE NULLS) OVER w, qtd_volumes) ELSE qtd_volumes END qtd_volumes,
+ CASE WHEN e_cotacao AND heard THEN coalesce(last_value(CASE WHEN heard AND peso_kg<>0 THEN peso_kg END IGNORE NULLS) OVER w, peso_kg) ELSE peso_kg END peso_kg,
+ CASE WHEN e_cotacao AND heard THEN coalesce(last_value(CASE WHEN heard THEN destino END IGNORE NULLS) OVER w, destino) ELSE destino END destino,
+ CASE WHEN e_cotacao AND heard THEN max(CASE WHEN heard THEN coalesce(confianca,0) END) OVER w ELSE confianca END confianca
+FROM (SELECT *, NOT (coalesce(remetente,'')='' OR remetente LIKE '%noreply%') heard FROM rq_raw) WINDOW w AS (PARTITION BY thread_id ORDER BY ts, id_email ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def _(t):
     return routing.merge_thread(_Q(t).requests).select("id_email", "qtd_volumes", "peso_kg", "destino", "confianca")
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from haulmark.config import CurationConfig
 from haulmark.operators import curation
-from haulmark.operators.routing import merge_thread
 from haulmark.plans.quoting_queries import DAY
 from haulmark.plans.registry import query
 from haulmark.session import use_utc, work_folder
@@ -56,10 +55,10 @@ def _(t):
 
 
 @query("streamed_threads", """
-SELECT id_email, CASE WHEN e_cotacao THEN coalesce(last_value(CASE WHEN qtd_volumes<>0 THEN qtd_volumes END IGNORE NULLS) OVER w, qtd_volumes) ELSE qtd_volumes END qtd_volumes,
- CASE WHEN e_cotacao THEN coalesce(last_value(destino IGNORE NULLS) OVER w, destino) ELSE destino END destino,
- CASE WHEN e_cotacao THEN max(confianca) OVER w ELSE confianca END confianca
-FROM rq_raw WINDOW w AS (PARTITION BY thread_id ORDER BY ts, id_email ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+SELECT id_email, CASE WHEN e_cotacao AND heard THEN coalesce(last_value(CASE WHEN heard AND qtd_volumes<>0 THEN qtd_volumes END IGNORE NULLS) OVER w, qtd_volumes) ELSE qtd_volumes END qtd_volumes,
+ CASE WHEN e_cotacao AND heard THEN coalesce(last_value(CASE WHEN heard THEN destino END IGNORE NULLS) OVER w, destino) ELSE destino END destino,
+ CASE WHEN e_cotacao AND heard THEN max(CASE WHEN heard THEN coalesce(confianca,0) END) OVER w ELSE confianca END confianca
+FROM (SELECT *, NOT (coalesce(remetente,'')='' OR remetente LIKE '%noreply%') heard FROM rq_raw) WINDOW w AS (PARTITION BY thread_id ORDER BY ts, id_email ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def _(t):
     out = work_folder(t.spark)
     merged = quotes.thread_state(_feed(t))
@@ -68,9 +67,14 @@ def _(t):
     return t.spark.read.parquet(f"{out}/threads").select("id_email", "qtd_volumes", "destino", "confianca")
 
 
-@query("batch_threads_complete", """SELECT count(*) n FROM rq_raw""")
+@query("streamed_thread_decisions")
 def _(t):
-    return merge_thread(inputs.derive_requests(t.table("events"))).agg(F.count("*").alias("n"))
+    """The whole request path: thread state, then decisions; one record has no time."""
+    out = work_folder(t.spark)
+    feed = _feed(t).withColumn("ts", F.when(F.col("id_email") != 5, F.col("ts")))
+    loader = lambda: inputs.derive_tariffs(t.spark, t.folder)
+    _finish(quotes.start_quote_stream(quotes.thread_state(feed), loader, out, f"{out}/checkpoint", DAY))
+    return t.spark.read.parquet(f"{out}/decisions").select("id_email", "outcome", "quoted_total")
 
 
 @query("manifest")

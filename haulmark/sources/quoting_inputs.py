@@ -13,6 +13,10 @@ from haulmark.functions.requests import VOLUME
 from haulmark.session import use_utc
 
 
+#: Added to the line number of the second row of a route; beyond any first one.
+SECOND_LINE = 1 << 40
+
+
 def derive_tariffs(spark: SparkSession, folder: str) -> DataFrame:
     """One tariff per supplier and customer class seen in the lines, with faults every 50 lines."""
     use_utc(spark)
@@ -27,7 +31,7 @@ def derive_tariffs(spark: SparkSession, folder: str) -> DataFrame:
     n = F.col("s") * 25 + F.col("b")
     base = pairs.withColumn("n", n)
     # Every fiftieth line is followed by a second row for the same route and mode.
-    copies = F.when(F.col("n") % 50 == 7, F.array(F.lit(0), F.lit(1_000_000))).otherwise(F.array(F.lit(0)))
+    copies = F.when(F.col("n") % 50 == 7, F.array(F.lit(0).cast("long"), F.lit(SECOND_LINE).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     base = base.withColumn("extra", F.explode(copies))
     n, fault, s, b = F.col("n"), F.col("n") % 50, F.col("s"), F.col("b")
 
@@ -37,7 +41,7 @@ def derive_tariffs(spark: SparkSession, folder: str) -> DataFrame:
     price = F.when(fault == 2, 0.0).otherwise((10 + (s * 7 + b * 3) % 40).cast("double"))
     gris = 0.1 + (n % 9) / 10
     return base.select(
-        (n + F.col("extra")).cast("int").alias("line_no"),
+        (n + F.col("extra")).cast("long").alias("line_no"),
         F.when(fault == 11, None).when(fault == 6, F.concat(F.lit("R"), n - 1)).otherwise(F.concat(F.lit("R"), n)).alias("id_rota"),
         F.concat(F.lit("HUB "), s).alias("cidade_origem"),
         F.when(fault == 5, "XXX").otherwise(letters(F.col("a"))).alias("uf_origem"),
@@ -111,7 +115,7 @@ def derive_requests(events: DataFrame) -> DataFrame:
         F.when(k % 41 == 0, None).when(k % 37 == 0, "noreply@loja.com")
         .otherwise(F.concat(F.lit("user"), F.col("user_id"), F.lit("@cliente.com"))).alias("remetente"),
         (F.col("event_type") != "error").alias("e_cotacao"),
-        ((k % 101) / 100.0).alias("confianca"),
+        F.when(k % 43 != 0, (k % 101) / 100.0).alias("confianca"),
         F.when(k % 31 != 0, F.concat(F.lit("Hub "), hub)).alias("origem"),
         dest.alias("destino"),
         F.when(k % 7 != 0, (1 + k % 12).cast("int")).alias("qtd_volumes"),
@@ -139,7 +143,7 @@ def derive_log(events: DataFrame) -> DataFrame:
     extraction = (
         F.when(k % 6 == 0, None)
         .when(k % 6 == 1, "{corrupt")
-        .otherwise(F.concat(F.lit('{"e_cotacao": true, "confianca": 0.5, "qtd_volumes": '), (k % 9), F.lit(', "origem": "HUB 1"}')))
+        .otherwise(F.concat(F.lit('{"e_cotacao": true, '), F.when(k % 60 != 8, F.lit('"confianca": 0.5, ')).otherwise(F.lit("")), F.lit('"qtd_volumes": '), (k % 9), F.lit(', "origem": "HUB 1"}')))
     )
     log = events.select(
         k.alias("id_email"),

@@ -66,7 +66,8 @@ def map_columns(df: DataFrame, synonyms=SYNONYMS, required=REQUIRED, keep=("line
 
 
 def load_tariffs(mapped: DataFrame, thousands_dot: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Text rows to tariffs; rows without origin, destination or price come back apart.
+    """Text rows to tariffs; rows without origin, destination or price, or with a line number or a
+    term that is no whole number of a fit size, come back apart.
 
     The line number is a column of the input: the order of rows in a distributed table
     means nothing.
@@ -83,7 +84,7 @@ def load_tariffs(mapped: DataFrame, thousands_dot: bool = True) -> tuple[DataFra
 
     term = number("prazo_dias")
     out = mapped.select(
-        F.col("line_no").cast("int").alias("line_no"),
+        F.col("line_no").try_cast("long").alias("line_no"),
         text("id_rota").alias("id_rota"),
         F.nullif(normalize_place(text("cidade_origem")), F.lit("")).alias("cidade_origem"),
         F.upper(F.coalesce(text("uf_origem"), F.lit(""))).alias("uf_origem"),
@@ -96,7 +97,8 @@ def load_tariffs(mapped: DataFrame, thousands_dot: bool = True) -> tuple[DataFra
         money("advalorem_percentual").alias("advalorem_percentual"),
         money("taxa_entrega_dificil").alias("taxa_entrega_dificil"),
         number("peso_maximo_volume_kg").alias("peso_maximo_volume_kg"),
-        F.when(term != 0, term.cast("int")).alias("prazo_dias"),
+        F.when(term != 0, term.try_cast("int")).alias("prazo_dias"),
+        (F.col("line_no").try_cast("long").isNull() | (term.isNotNull() & term.try_cast("int").isNull())).alias("_odd"),
         F.upper(F.coalesce(text("modal"), F.lit("RODOVIARIO"))).alias("modal"),
         number("distancia_km").alias("distancia_km"),
         parse_date_multi(text("vigencia_inicio")).alias("vigencia_inicio"),
@@ -109,4 +111,5 @@ def load_tariffs(mapped: DataFrame, thousands_dot: bool = True) -> tuple[DataFra
         text("tipo_localidade_destino").alias("tipo_localidade_destino"),
     )
     usable = F.col("cidade_origem").isNotNull() & F.col("cidade_destino").isNotNull() & F.col("valor_por_volume").isNotNull()
-    return out.filter(usable), out.filter(~usable)
+    usable = usable & ~F.col("_odd")
+    return out.filter(usable).drop("_odd"), out.filter(~usable).drop("_odd")

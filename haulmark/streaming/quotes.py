@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from haulmark.config import QuotingConfig
-from haulmark.functions.requests import VOLUME
+from haulmark.functions.requests import VOLUME, is_ignored_sender
 from haulmark.operators.routing import route_requests
 from haulmark.operators.tariffs import apply_quarantine, audit_tariffs, fingerprint
 from haulmark.session import reliable_checkpoint
@@ -41,11 +41,11 @@ def dedupe_stream(df: DataFrame, key: str = "id_email", watermark: str = "7 days
     return df.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([key])
 
 
-_FIELDS = ["origem", "destino", "qtd_volumes", "valor_nf", "peso_kg", "m3_informado", "modal"]
-_STATE = "origem string, destino string, qtd_volumes int, valor_nf double, peso_kg double, m3_informado double, modal string, confianca double"
-_THREAD_OUT = "id_email long, thread_id long, ts timestamp, remetente string, e_cotacao boolean, confianca double, " + (
-    "origem string, destino string, qtd_volumes int, valor_nf double, peso_kg double, m3_informado double, modal string"
-)
+# The package list travels through the state as JSON; an empty one counts as not given.
+_FIELDS = ["origem", "destino", "qtd_volumes", "valor_nf", "peso_kg", "m3_informado", "modal", "volumes"]
+_FIELD_TYPES = "origem string, destino string, qtd_volumes int, valor_nf double, peso_kg double, m3_informado double, modal string, volumes string"
+_STATE = f"{_FIELD_TYPES}, confianca double"
+_THREAD_OUT = f"id_email long, thread_id long, ts timestamp, remetente string, e_cotacao boolean, confianca double, {_FIELD_TYPES}"
 
 
 STATE_TTL_MS = 30 * 24 * 3600 * 1000
@@ -67,11 +67,14 @@ def _merge_messages(key, frames: Iterator[pd.DataFrame], state: GroupState) -> I
     batch = pd.concat(list(frames)).sort_values(["ts", "id_email"]).astype(object)
     out = []
     for row in batch.to_dict("records"):
-        if row["e_cotacao"]:
-            row.update({f: known[f] for f in _FIELDS if not _given(row[f])})
-            row["confianca"] = max(row["confianca"], known["confianca"] or 0.0)
-        known.update({f: row[f] for f in _FIELDS if _given(row[f])})
-        known["confianca"] = max(row["confianca"], known["confianca"] or 0.0)
+        if row.pop("heard"):
+            said = {f: row[f] for f in _FIELDS if _given(row[f])}
+            surest = max(row["confianca"] if _given(row["confianca"]) else 0.0, known["confianca"] or 0.0)
+            if row["e_cotacao"]:
+                row.update({f: known[f] for f in _FIELDS if f not in said and _given(known[f])})
+                row["confianca"] = surest
+            known.update(said)
+            known["confianca"] = surest
         out.append(row)
     if known["qtd_volumes"] is not None:
         known["qtd_volumes"] = int(known["qtd_volumes"])
@@ -86,11 +89,17 @@ def thread_state(df: DataFrame, watermark: str = "7 days") -> DataFrame:
     """Streaming twin of the thread merge; the state of a silent thread ends after thirty days.
 
     The end is counted in event time: a wall-clock timeout would keep starting empty batches.
+    Records without id, thread or time never reach the state; ``split_rejects`` of the same feed has them.
     """
+    good, _ = split_rejects(df)
+    listed = F.when(F.size("volumes") > 0, F.to_json("volumes"))
+    heard = ~is_ignored_sender("remetente", QuotingConfig().own_address)
     cols = ["id_email", "thread_id", "ts", "remetente", "e_cotacao", "confianca", *_FIELDS]
-    return df.withWatermark("ts", watermark).select(*cols).groupBy("thread_id").applyInPandasWithState(
+    good = good.withColumns({"volumes": listed, "heard": heard}).withWatermark("ts", watermark).select(*cols, "heard")
+    merged = good.groupBy("thread_id").applyInPandasWithState(
         _merge_messages, _THREAD_OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
+    return merged.withColumn("volumes", F.from_json("volumes", f"array<{VOLUME}>"))
 
 
 def with_tariffs(loader: Callable[[], DataFrame], enforce: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -114,16 +123,17 @@ def start_quote_stream(
 
     def decide(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        # The batch is written three ways; without this, the state behind it would run as often.
+        batch = batch.persist()
         good, rejects = split_rejects(batch)
         audited, content = with_tariffs(loader)
         earlier = _earlier_ids(spark, f"{out}/decisions", batch_id)
         fresh = good if earlier is None else good.join(earlier, "id_email", "left_anti")
-        if "volumes" not in fresh.columns:
-            fresh = fresh.withColumn("volumes", F.array().cast(f"array<{VOLUME}>"))
         decided = route_requests(fresh, audited, day, cfg).select(*DECISION_COLUMNS)
         decided.write.mode("overwrite").parquet(f"{out}/decisions/batch={batch_id}")
         rejects.write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
         content.write.mode("overwrite").parquet(f"{out}/tariff_versions/batch={batch_id}")
+        batch.unpersist()
 
     writer = requests.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
