@@ -161,7 +161,8 @@ def date_split(df: DataFrame, ts: str, days: int = 90) -> DataFrame:
 
 def random_split(df: DataFrame, keys: list[str], fractions=(0.70, 0.15, 0.15), seed: int = 42, names=("train", "calib", "test")) -> DataFrame:
     """Repeatable random split: the side depends on the keys and the seed alone."""
-    u = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    digits = F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))), 1, 8)
+    u = F.conv(digits, 16, 10).cast("long") / F.lit(1 << 32)
     out, edge = F.lit(names[-1]), 1.0
     for fraction, name in reversed(list(zip(fractions[:-1], names[:-1], strict=True))):
         edge = sum(fractions[: names.index(name) + 1])

@@ -267,9 +267,10 @@ def defect_cost(star: Star, core: DataFrame, pairs: DataFrame, cfg: CostConfig =
 def scorecard(evidence: DataFrame, grades: dict[str, float]) -> DataFrame:
     """Grades given by people next to the counted evidence, with the mean grade.
 
-    ``evidence`` has (section, metric, value); ``grades`` maps a section to its grade.
+    ``evidence`` has (section, metric, value); ``grades`` maps a section to its grade. Evidence
+    of a section without a grade stays, with a null grade.
     """
     spark = evidence.sparkSession
     given = spark.createDataFrame(list(grades.items()), "section string, grade double")
     mean = sum(grades.values()) / len(grades)
-    return evidence.join(given, "section").withColumn("mean_grade", F.round(F.lit(mean), 1))
+    return evidence.join(given, "section", "left").withColumn("mean_grade", F.round(F.lit(mean), 1))

@@ -260,7 +260,15 @@ def _(t):
     )
 
 
-@query("page_texts")
+_PLAIN = r"regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g')"
+_PLAIN = rf"regexp_replace({_PLAIN}, '(?i)<\s*(br|/\s*(p|div|tr|li|h[1-6]|table|ul))\b[^>]*>', chr(10), 'g')"
+_PLAIN = rf"regexp_replace({_PLAIN}, '<[^>\n]+>', ' ', 'g')"
+for _name, _char in text.HTML_ENTITIES.items():
+    _PLAIN = f"replace({_PLAIN}, '{_name}', chr({ord(_char)}))"
+_PLAIN = rf"regexp_replace(regexp_replace({_PLAIN}, '[ \t]{{2,}}', ' ', 'g'), '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g')"
+
+
+@query("page_texts", f"SELECT page_id, {_PLAIN} plain FROM pages")
 def _(t):
     return t.table("pages").select("page_id", text.html_to_text("html").alias("plain"))
 
@@ -342,9 +350,10 @@ def _(t):
     return t.table("part").select("p_partkey", hashing.row_hash(["p_partkey", "p_name", "p_brand"]).alias("row_hash"))
 
 
-@query("table_hash")
+@query("table_hash", """SELECT count(*) "rows", CAST(sum(h) AS VARCHAR) hash_sum, bit_xor(h) hash_xor FROM (
+SELECT CAST('0x'||substr(sha256('='||o_orderkey||'|='||o_custkey||'|='||o_orderstatus||'|='||o_orderpriority),1,15) AS BIGINT) h FROM orders)""")
 def _(t):
-    return hashing.table_hash(t.table("orders"))
+    return hashing.table_hash(t.table("orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
 def _findings(df):
@@ -387,11 +396,14 @@ def _(t):
     return _Q(t).tariffs.filter(tariffs.in_force(DAY)).select("line_no")
 
 
-@query("tariff_fingerprint", """SELECT coalesce(id_rota,'')||'|'||cidade_origem||'/'||uf_origem||'|'||cidade_destino||'/'||uf_destino||'|'||modal "key",
-arg_max(CAST(prazo_dias AS VARCHAR), line_no) prazo_dias, arg_max(status, line_no) status,
-arg_max(strftime(vigencia_inicio,'%Y-%m-%d'), line_no) vigencia_inicio FROM tf_tariffs GROUP BY 1""")
+_KEY = "coalesce(id_rota,'')||'|'||cidade_origem||'/'||uf_origem||'|'||cidade_destino||'/'||uf_destino||'|'||modal"
+_LATEST = ", ".join(f"arg_max(coalesce(CAST({c} AS VARCHAR), chr(0)), line_no) {c}" for c in tariffs.SENSITIVE)
+_SHOWN = ", ".join(f"nullif({c}, chr(0)) {c}" for c in tariffs.SENSITIVE)
+
+
+@query("tariff_fingerprint", f"""SELECT "key", {_SHOWN} FROM (SELECT {_KEY} "key", {_LATEST} FROM tf_tariffs GROUP BY 1)""")
 def _(t):
-    return tariffs.fingerprint(_Q(t).tariffs).select("key", "prazo_dias", "status", "vigencia_inicio")
+    return tariffs.fingerprint(_Q(t).tariffs).select("key", *tariffs.SENSITIVE)
 
 
 def _next_version(df):
@@ -406,21 +418,22 @@ def _next_version(df):
     )
 
 
-@query("tariff_changes", """
-WITH k AS (SELECT *, cidade_origem||'/'||uf_origem||'|'||cidade_destino||'/'||uf_destino||'|'||modal r FROM tf_tariffs),
-a AS (SELECT coalesce(id_rota,'')||'|'||r "key", arg_max(valor_por_volume, line_no) v, arg_max(status, line_no) s FROM k GROUP BY 1),
-b AS (SELECT CASE WHEN line_no%31=0 THEN 'Z'||line_no ELSE coalesce(id_rota,'') END||'|'||r "key",
- arg_max(valor_por_volume+CASE WHEN line_no%7=0 THEN 2 ELSE 0 END, line_no) v,
- arg_max(CASE WHEN line_no%29=0 THEN 'INATIVO' ELSE status END, line_no) s,
- arg_max(line_no, line_no) l FROM k WHERE line_no%23<>0 GROUP BY 1),
-j AS (SELECT a."key" ka, b."key" kb, a.v va, b.v vb, a.s sa, b.s sb FROM a FULL JOIN b ON a."key"=b."key")
-SELECT kb "key", 'nova' kind, NULL field FROM j WHERE ka IS NULL UNION ALL SELECT ka, 'removida', NULL FROM j WHERE kb IS NULL
-UNION ALL SELECT ka, 'alterada', 'valor_por_volume' FROM j WHERE va<>vb UNION ALL SELECT ka, 'alterada', 'status' FROM j WHERE sa<>sb""")
+_NEXT = """SELECT * REPLACE (valor_por_volume+CASE WHEN line_no%7=0 THEN 2 ELSE 0 END AS valor_por_volume,
+CASE WHEN line_no%29=0 THEN 'INATIVO' ELSE status END AS status, CASE WHEN line_no%31=0 THEN 'Z'||line_no ELSE id_rota END AS id_rota)
+FROM tf_tariffs WHERE line_no%23<>0"""
+_CHANGED = " UNION ALL ".join(
+    f"""SELECT a."key", 'alterada' kind, '{c}' field, nullif(a.{c}, chr(0)) "old", nullif(b.{c}, chr(0)) "new" FROM a JOIN b USING ("key") WHERE a.{c}<>b.{c}"""
+    for c in tariffs.SENSITIVE
+)
+
+
+@query("tariff_changes", f"""
+WITH a AS (SELECT {_KEY} "key", {_LATEST} FROM tf_tariffs GROUP BY 1), b AS (SELECT {_KEY} "key", {_LATEST} FROM ({_NEXT}) GROUP BY 1)
+SELECT "key", 'nova' kind, NULL field, NULL "old", NULL "new" FROM b ANTI JOIN a USING ("key")
+UNION ALL SELECT "key", 'removida', NULL, NULL, NULL FROM a ANTI JOIN b USING ("key") UNION ALL {_CHANGED}""")
 def _(t):
-    # Second rows of a route are left out, so that the latest line of a key is the same in both loads.
     df = _Q(t).tariffs
-    changes = tariffs.diff_snapshots(tariffs.fingerprint(df), tariffs.fingerprint(_next_version(df)))
-    return changes.filter("field IS NULL OR field IN ('valor_por_volume', 'status')").select("key", "kind", "field")
+    return tariffs.diff_snapshots(tariffs.fingerprint(df), tariffs.fingerprint(_next_version(df)))
 
 
 @query("tariff_key_differences", """SELECT coalesce(a.id_rota,b.id_rota) id_rota, CASE WHEN b.id_rota IS NULL THEN 'left' WHEN a.id_rota IS NULL THEN 'right' ELSE 'both' END side

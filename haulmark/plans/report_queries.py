@@ -541,7 +541,8 @@ def _(t):
     return ordering.date_split(t.star.orders, "purchase_ts").select("order_id", "split")
 
 
-@query("random_split")
+@query("random_split", """SELECT order_id, CASE WHEN u<0.70 THEN 'train' WHEN u<0.85 THEN 'calib' ELSE 'test' END split
+FROM (SELECT order_id, CAST('0x'||substr(md5(order_id||'|42'),1,8) AS BIGINT)/4294967296 u FROM fx_orders)""")
 def _(t):
     return ordering.random_split(t.star.orders, ["order_id"]).select("order_id", "split")
 
