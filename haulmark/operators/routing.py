@@ -97,16 +97,23 @@ def pick_tariff(requests: DataFrame, tariffs: DataFrame, day) -> DataFrame:
 
 
 def with_route_status(requests: DataFrame, audited: DataFrame, day) -> DataFrame:
-    """Attach the tariff, whether the route is registered, and its quarantine reasons."""
+    """Attach the tariff, whether the route is registered, and its quarantine reasons.
+
+    Each distinct route meets the table once; tariff, mark and reasons come out of one grouping.
+    """
     keyed = with_request_route(requests)
-    known = match_routes(keyed, audited).select("origin_norm", "dest_norm").distinct().withColumn("_known", F.lit(True))
-    pair = ["origin_norm", "dest_norm"]
+    asked = keyed.select(*_REQUEST_ROUTE).distinct()
+    met = asked.join(match_routes(asked, audited), ["origin_norm", "dest_norm"])
+    usable = in_force(day) & ~F.col("quarantined")
+    offer = F.struct(mode_preference().alias("p"), F.col("line_no"), F.struct(*[F.col(c) for c in audited.columns]).alias("tariff"))
+    reasons = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("quarantined"), F.col("block_reasons"))))))
+    status = met.groupBy(*_REQUEST_ROUTE).agg(F.min(F.when(usable, offer)).alias("_offer"), reasons.alias("_reasons"))
+    status = status.select(
+        *_REQUEST_ROUTE, F.col("_offer.tariff").alias("tariff"), F.lit(True).alias("_known"),
+        F.when(F.size("_reasons") > 0, F.array_join("_reasons", "; ")).alias("quarantine_reason"),
+    )
     return (
-        keyed.join(pick_tariff(keyed, audited, day), _REQUEST_ROUTE, "left")
-        .join(known, pair, "left")
-        .join(quarantine_reason(keyed, audited), pair, "left")
-        .withColumn("registered", F.coalesce("_known", F.lit(False)))
-        .drop("_known")
+        keyed.join(status, _REQUEST_ROUTE, "left").withColumn("registered", F.coalesce("_known", F.lit(False))).drop("_known")
     )
 
 
