@@ -28,7 +28,7 @@ def clean(texts: pa.Array, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def gram_places(data: np.ndarray, n: int, bits: int) -> np.ndarray:
     """Bucket of the n-gram that starts at each byte; ``2 ** bits`` where there is none."""
-    size = len(data) - n + 1
+    size = max(len(data) - n + 1, 0)
     blank = data == 32
     with np.errstate(over="ignore"):
         code = np.full(size, n * 0x9E3779B1 & 0xFFFFFFFF, _U32)
@@ -41,4 +41,4 @@ def gram_places(data: np.ndarray, n: int, bits: int) -> np.ndarray:
         dropped |= blank[i : i + size]
     out = code.astype(np.int32)
     out[dropped] = 1 << bits
-    return np.concatenate([out, np.full(n - 1, 1 << bits, np.int32)])
+    return np.concatenate([out, np.full(len(data) - size, 1 << bits, np.int32)])

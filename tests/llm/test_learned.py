@@ -65,16 +65,17 @@ def test_network_gradients_equal_finite_differences():
         assert (up - down) / (2 * step) == pytest.approx(g[i], rel=0.15, abs=2e-4)
 
 
-def test_network_reads_the_end_of_long_texts():
-    net = bytenet.Net.fresh()
-    plain, other = "a" * 5000, "a" * 4997 + "ZQ!"
-
-    def top(text):
-        chunks = bytenet.chunks_of(pa.array([text]))
-        return bytenet.convolve(chunks, net.tables())[0].max(axis=0)
-
-    assert (top(plain) != top(other)).any()
-    assert (np.maximum(top(plain), top("aaZQ!"))[3:] >= top(other)[3:] - 1e-5).all()
+def test_network_reads_every_byte_of_long_texts():
+    tables = np.zeros((bytenet.WIDTH, 256, bytenet.FILTERS), np.float32)
+    for k, byte in enumerate(b"ZQXYW"):
+        tables[k, byte, 0] = 1
+    for at in (0, 1, 253, 254, 255, 256, 4990, 4995):
+        text = "a" * at + "ZQXYW" + "a" * (4995 - at)
+        chunks = bytenet.chunks_of(pa.array(["ZQX", text, "YW"]))
+        best, where = bytenet.convolve(chunks, tables, True)
+        assert best[chunks.text == 1, 0].max() == 5 and best[chunks.text != 1, 0].max() <= 3
+        place = where[chunks.text == 1, 0][best[chunks.text == 1, 0].argmax()]
+        assert chunks.data[place : place + 5].tobytes() == b"ZQXYW"
 
 
 def test_toxicity_finds_misspellings_and_leaves_clean_texts(spark):
