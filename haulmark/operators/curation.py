@@ -15,6 +15,7 @@ from haulmark.functions.times import days_between
 from haulmark.operators.centroids import zip_centroids
 from haulmark.operators.cities import canonical_lookup, city_map, city_pairs
 from haulmark.operators.deliveries import build_deliveries
+from haulmark.session import reliable_checkpoint
 from haulmark.sources.star import Star
 
 DEFAULT = CurationConfig()
@@ -275,8 +276,10 @@ def star_core(star: Star, cfg: CurationConfig = DEFAULT) -> DataFrame:
 def curate_star(star: Star, cfg: CurationConfig = DEFAULT) -> DataFrame:
     """Curated delivery table straight from the star."""
     window_end = star.orders.select(F.max("purchase_ts")).scalar()
-    lookup = canonical_lookup(city_map(city_pairs(star)))
-    return curate_deliveries(build_deliveries(star), zip_centroids(star.geo), lookup, cfg, window_end)
+    # Both are joined at two ends; written once, their inputs are read once.
+    lookup = reliable_checkpoint(canonical_lookup(city_map(city_pairs(star))))
+    centroids = reliable_checkpoint(zip_centroids(star.geo))
+    return curate_deliveries(build_deliveries(star), centroids, lookup, cfg, window_end)
 
 
 def select_contract(df: DataFrame) -> DataFrame:

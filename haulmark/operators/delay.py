@@ -22,6 +22,7 @@ from haulmark.operators.cities import canonical_lookup, city_map, city_pairs
 from haulmark.operators.curation import star_core
 from haulmark.operators.evaluation import roc_auc, score_models
 from haulmark.operators.ordering import random_split
+from haulmark.session import reliable_checkpoint
 from haulmark.sources.star import Star
 
 NUMERIC = [
@@ -75,7 +76,7 @@ def delay_table(star: Star) -> DataFrame:
         F.col("spelling").alias("seller_city"), F.col("state").alias("seller_state"), F.col("canonical").alias("branch_city")
     )
     named = core.join(lookup, ["seller_city", "seller_state"], "left")
-    return delay_features(attach_city_geo(named, zip_centroids(star.geo)))
+    return delay_features(attach_city_geo(named, reliable_checkpoint(zip_centroids(star.geo))))
 
 
 def collapse_rare(df: DataFrame, train: DataFrame, cols: list[str], min_n: int = 30, other: str = "OTHER", missing: str = "SEM") -> DataFrame:

@@ -9,6 +9,7 @@ from haulmark.functions.geo import geo_profile, haversine_km, route_key, same_st
 from haulmark.functions.numbers import PRICE_CATEGORICAL, PRICE_NUMERIC, cubage, require, valid_shipments
 from haulmark.functions.times import days_between
 from haulmark.operators.centroids import zip_centroids
+from haulmark.session import reliable_checkpoint
 from haulmark.sources.star import Star
 
 NEAR_DUPLICATE_KEYS = ["order_id", "product_id", "seller_id", "price", "freight_value"]
@@ -152,7 +153,8 @@ def shipment_features(df: DataFrame) -> DataFrame:
 
 
 def shipments_before_filters(star: Star) -> DataFrame:
-    geo = zip_centroids(star.geo, stat="median")
+    # Joined at both ends; written once, the points are read once.
+    geo = reliable_checkpoint(zip_centroids(star.geo, stat="median"))
     return shipment_features(attach_geo(attach_ends(shipment_rollup(shipment_items(star)), star), geo))
 
 

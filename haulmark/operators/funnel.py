@@ -17,6 +17,7 @@ from haulmark.operators.deliveries import (
 )
 from haulmark.operators.ordering import summarise, top_k
 from haulmark.operators.quality import lag_summary, long_metrics
+from haulmark.session import reliable_checkpoint
 from haulmark.sources.star import Star
 
 _REQUIRED = [*PRICE_NUMERIC, "freight_value"]
@@ -37,7 +38,7 @@ def _steps(star: Star):
     lines = shipment_items(star)
     rolled = shipment_rollup(lines)
     ends = attach_ends(rolled, star)
-    full = shipment_features(attach_geo(ends, zip_centroids(star.geo, "median")))
+    full = shipment_features(attach_geo(ends, reliable_checkpoint(zip_centroids(star.geo, "median"))))
     kept = require(full, _REQUIRED, [*PRICE_CATEGORICAL, "purchase_ts"])
     return lines, rolled, full, kept
 
