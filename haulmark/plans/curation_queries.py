@@ -9,6 +9,8 @@ from haulmark.operators import centroids, cities, curation, deliveries
 from haulmark.operators import sla as sla_ops
 from haulmark.plans.ctes import haversine_sql
 from haulmark.plans.registry import query
+from haulmark.session import work_folder
+from haulmark.sources.star import read_star, write_star
 
 
 def _text(*names):
@@ -28,6 +30,14 @@ def _(t):
     return t.star.orders.select("order_id", "customer_id", "order_status", *_text(*_ORDER_TS))
 
 
+@query("star_orders_from_csv", f"SELECT CAST(order_id AS VARCHAR) order_id, order_status, {_sql_text(*_ORDER_TS)} FROM fx_orders")
+def _(t):
+    """The star written as CSV and read back as text."""
+    folder = work_folder(t.spark)
+    write_star(t.star, folder, "csv")
+    return read_star(t.spark, folder).orders.select("order_id", "order_status", *_text(*_ORDER_TS))
+
+
 @query(
     "star_items",
     "SELECT order_id, CAST(order_item_id AS INT) order_item_id, product_id, seller_id, price, freight_value FROM fx_items",

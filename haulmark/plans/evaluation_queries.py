@@ -130,6 +130,44 @@ def _(t):
     return ev.fairness_by(_priced(t), "dest_state", min_n=20)
 
 
+def _fairness_sql(key, source="pr_rows"):
+    return f"""SELECT {key}, count(*) n, round(100*avg((p50>freight_value)::INT),3) over_pct, round(median(freight_value),3) freight_p50,
+ round(median(100*(p50-freight_value)/freight_value) FILTER (freight_value>0),3) error_pct_p50,
+ round(median(abs(100*(p50-freight_value)/freight_value)) FILTER (freight_value>0),3) medape FROM {source} GROUP BY 1 HAVING count(*)>=20"""
+
+
+@query("price_fairness_by_profile", _fairness_sql("geo_profile"))
+def _(t):
+    return ev.fairness_by(_priced(t), "geo_profile", min_n=20)
+
+
+@query("price_fairness_by_route", _fairness_sql("route"))
+def _(t):
+    return ev.fairness_by(_priced(t), "route", min_n=20)
+
+
+_SIZED = """(SELECT p.*, CASE WHEN o<=50 THEN 'small' WHEN o<=100 THEN 'medium' ELSE 'large' END seller_size FROM pr_rows p
+JOIN (SELECT seller_id, count(*) o FROM pr_rows GROUP BY 1) USING (seller_id))"""
+
+
+@query("price_fairness_by_seller_size", _fairness_sql("seller_size", _SIZED))
+def _(t):
+    priced = _priced(t)
+    orders = priced.groupBy("seller_id").agg(F.count("*").alias("_o"))
+    size = F.when(F.col("_o") <= 50, "small").when(F.col("_o") <= 100, "medium").otherwise("large")
+    return ev.fairness_by(priced.join(orders, "seller_id").withColumn("seller_size", size), "seller_size", min_n=20)
+
+
+_DECILED = "(SELECT *, " + "1+" + "+".join(
+    f"(distance_km>(SELECT quantile_cont(distance_km,{i / 10}) FROM pr_rows))::INT" for i in range(1, 10)
+) + " distance_decile FROM pr_rows)"
+
+
+@query("price_fairness_by_distance", _fairness_sql("distance_decile", _DECILED))
+def _(t):
+    return ev.fairness_by(ordering.qcut(_priced(t), "distance_km", 10, "distance_decile"), "distance_decile", min_n=20)
+
+
 @query("price_error_by_month", """SELECT strftime(purchase_ts,'%Y-%m') "month", count(*) n, round(avg(abs(p50-freight_value)),3) mae FROM pr_test
 GROUP BY 1 HAVING count(*)>=5""")
 def _(t):

@@ -9,7 +9,8 @@ from haulmark.functions import hashing, numbers, requests, text, times
 from haulmark.operators import audit_log, centroids, cities, routing, tariffs
 from haulmark.plans.ctes import define
 from haulmark.plans.registry import query
-from haulmark.session import reliable_checkpoint
+from haulmark.session import reliable_checkpoint, work_folder
+from haulmark.sources import audit_store
 from haulmark.sources import quoting_inputs as inputs
 from haulmark.sources.tariffs import load_tariffs, map_columns
 
@@ -515,6 +516,25 @@ def _(t):
     return out.select("id_email", "outcome", "label", "quoted_total")
 
 
+@query("logged_decisions", """SELECT CAST(id_email AS VARCHAR) id_email, outcome desfecho, CASE outcome WHEN 'erro' THEN 'IA/Revisar'
+WHEN 'incompleto' THEN 'IA/Incompleto' WHEN 'sem_rota' THEN 'IA/Sem-Rota' ELSE 'IA/Processado' END label,
+CASE WHEN outcome='cotado' THEN total1 END valor_frete, CASE WHEN outcome='cotado' THEN id_rota END id_rota FROM rq_decided""")
+def _(t):
+    """Decisions appended to the audit store in two loads and read back."""
+    q = _Q(t)
+    decided = routing.route_requests(q.requests, q.audited, DAY)
+    rows = decided.select(
+        "id_email", F.col("thread_id").cast("string").alias("thread_id"), "remetente", F.col("outcome").alias("desfecho"),
+        F.col("origem"), F.col("destino"), "qtd_volumes", "valor_nf", "peso_kg", F.col("quoted_total").alias("valor_frete"),
+        F.when(F.col("outcome") == "cotado", F.col("tariff.id_rota")).alias("id_rota"), F.col("reason").alias("erro"),
+        F.col("ts").alias("criado_em"), "label", F.col("quoted_tariff").alias("tarifa_json"),
+    )
+    folder = work_folder(t.spark)
+    for part in (0, 1):
+        audit_store.append(rows.filter(F.col("id_email") % 2 == part), folder, "processados")
+    return audit_store.read(t.spark, folder, "processados").select("id_email", "desfecho", "label", "valor_frete", "id_rota")
+
+
 @query("rebuilt_quotes", "SELECT id_email, line_no, id_rota FROM rq_decided WHERE outcome='cotado'")
 def _(t):
     q = _Q(t)

@@ -158,16 +158,17 @@ def _convert(source: str, target: str, kind: str):
     return col.cast("string").alias(target)
 
 
-def write_star(star: Star, folder: str) -> None:
-    """Store the star as Parquet under the file names the reader expects."""
+def write_star(star: Star, folder: str, fmt: str = "parquet") -> None:
+    """Store the star as Parquet or CSV under the file names the reader expects."""
     for name, columns in COLUMNS.items():
         df = getattr(star, name)
         names = {target: source for source, target, _ in columns}
         known = [c for c in df.columns if c in names]
         absent = [F.lit(None).cast("string").alias(s) for s, t, _ in columns if t not in df.columns]
-        df.select(*[F.col(c).alias(names[c]) for c in known], *absent).write.mode("errorifexists").parquet(
-            f"{folder}/{FILES[name]}.parquet"
-        )
+        out = df.select(*[F.col(c).alias(names[c]) for c in known], *absent).write.mode("errorifexists")
+        if fmt == "csv":
+            out = out.option("header", True).option("escape", '"')
+        out.format(fmt).save(f"{folder}/{FILES[name]}.{fmt}")
 
 
 def _hours(ts, n):
