@@ -18,6 +18,8 @@ QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 SAMPLE = [
     "first_item_and_totals", "quarantine_marks", "zip_centroids", "sla_by_branch", "flag_effect", "uniqueness_report",
     "city_map", "typo_suspects", "tariff_audit", "routed_requests", "delay_auc_by_month", "segment_quality",
+    "tariff_changes", "tariff_fingerprint", "merged_threads", "page_texts", "random_split", "table_hash",
+    "price_fairness_by_distance", "logged_decisions", "star_orders_from_csv", "quarantined_routes",
 ]
 NAMES = list(QUERIES) if os.environ.get("HAULMARK_ALL") else SAMPLE
 
