@@ -3,6 +3,7 @@ import random
 import pytest
 from helpers import WORDS, components_by_brute_force, frame, hard_rows, random_texts
 
+from haulmark.llm import neardup
 from haulmark.llm.components import components
 from haulmark.llm.neardup import near_duplicates
 
@@ -32,6 +33,13 @@ def test_components_equal_brute_force(spark, seed, k, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_stars_in_many_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rows = list(enumerate(family(random.Random(8), 150, 80, 14)))
+    got = near_duplicates(frame(spark, [(i, t, "en", "a") for i, t in rows]), 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_by_brute_force(rows, 3, 85)
+
+
 def test_hard_rows(spark):
     got = near_duplicates(frame(spark, hard_rows())).collect()
     assert len(got) == len(hard_rows())
