@@ -30,7 +30,7 @@ MISS = 1e-5
 #: Standard deviations below the threshold at which a signature rules a pair out.
 SIGMAS = 5.0
 #: Members on either side of a comparison block.
-BLOCK = 128
+BLOCK = 512
 
 
 def bands_for(percent: int) -> int:
