@@ -2,9 +2,10 @@
 
 Texts with the same shingle set are one class from the start, whatever their number. Classes
 that agree on a band meet in a bucket. A bucket is not turned into pairs: its members are
-compared with one of them, the centre, which is the member that meets most others. What the centre
-does not settle is settled among the members of its star on full sets, in blocks of bounded
-size, and only between members that are not connected already.
+compared with one of them, the centre, which is the member that meets most others. Members
+unlike the centre get centres of their own, so that every pair of a bucket whose signatures do not
+rule it out lies in a star. What the centre does not settle is settled among the members of its star
+on full sets, in blocks of bounded size, and only between members that are not connected already.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ ROWS = 5
 MISS = 1e-5
 #: Standard deviations below the threshold at which a signature rules a pair out.
 SIGMAS = 5.0
+#: Share of equal signature bytes from which a member belongs to the star of a centre.
+INNER = 0.35
+#: Centres that a bucket gets one after the other while more than ``BLOCK`` members are left.
+PASSES = 8
 #: Members on either side of a comparison block.
 BLOCK = 512
 
@@ -120,8 +125,20 @@ def signatures(docs: DataFrame, shingle: int, bands: int, keep: list[str]) -> Da
     return over_text(docs, score, schema, keep)
 
 
-def stars(sigs: DataFrame) -> DataFrame:
-    """``centre, node``: for each bucket of at least two classes, its centre and every other member."""
+def cuts(percent: int) -> tuple[float, float, float]:
+    """Shares of equal signature bytes: of a pair that may be linked, of a member of a star, and of a member that is done with its bucket.
+
+    The share of unequal bytes is a metric. If a pair may be linked and one of it falls short of
+    the second share with a centre, the other falls short of the third: both stay in the bucket.
+    """
+    t = percent / 100
+    least = t - SIGMAS * math.sqrt(t * (1 - t) / (bands_for(percent) * ROWS))
+    inner = min(least, INNER)
+    return least, inner, inner + 1 - least + 1e-9
+
+
+def bucket_members(sigs: DataFrame) -> DataFrame:
+    """``bucket, node, weight`` for each bucket of at least two classes; a class that meets more others weighs more."""
     entries = sigs.filter("node IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
     met = entries.groupBy("bucket").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.count("*").alias("size"))
     # Summaries are written before they are joined: then Spark can split the rows of a hot key.
@@ -129,30 +146,96 @@ def stars(sigs: DataFrame) -> DataFrame:
     # Copies of one text bring the same entry many times; a class counts once from here on.
     inside = stored(entries.join(met, "bucket").distinct())
     weight = stored(inside.groupBy("node").agg(F.sum("size").alias("weight")))
-    weighed = stored(inside.select("bucket", "node").join(weight, "node"))
-    centres = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("_c"))
-    centres = stored(centres.select("bucket", F.col("_c.node").alias("centre")))
-    return weighed.join(centres, "bucket").filter("centre != node").select("centre", "node").distinct()
+    return stored(inside.select("bucket", "node").join(weight, "node"))
 
 
-def alike_by_signature(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose signatures do not rule them out."""
-    one = stored(sigs.filter("node IS NOT NULL").groupBy("node").agg(F.min("signature").alias("signature")))
+def signature_shares(pairs: DataFrame, one: DataFrame) -> DataFrame:
+    """``centre, node, more`` of each pair and the share of its signature bytes that are equal."""
     with_node = pairs.join(one.withColumnRenamed("signature", "_s"), "node")
     both = with_node.join(one.select(F.col("node").alias("centre"), F.col("signature").alias("_c")), "centre")
-    many = bands_for(percent) * ROWS
-    t = percent / 100
-    least = t - SIGMAS * math.sqrt(t * (1 - t) / many)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("_s", "_c"))
-            ok = pa.array((x == y).mean(axis=1) >= least)
-            yield batch.select(["centre", "node"]).filter(ok)
+            kept = batch.select(["centre", "node", "more"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array((x == y).mean(axis=1))], names=[*kept.schema.names, "share"])
+
+    return both.select("centre", "node", "more", "_s", "_c").mapInArrow(run, "centre long, node long, more boolean, share double")
+
+
+def star_pass(members: DataFrame, one: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each bucket's centre with the members near it, and the members that still have to meet others of their bucket."""
+    least, inner, leave = cuts(percent)
+    centres = members.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("_c"), F.count("*").alias("_n"))
+    centres = stored(centres.select("bucket", F.col("_c.node").alias("centre"), (F.col("_n") > 2).alias("more")))
+    starred = members.join(centres, "bucket").filter("centre != node")
+    shares = stored(signature_shares(starred.groupBy("centre", "node").agg(F.max("more").alias("more")), one))
+    near = shares.filter(F.col("share") >= F.when(F.col("more"), inner).otherwise(least)).select("centre", "node")
+    far = shares.filter(F.col("more") & (F.col("share") < leave)).select("centre", "node")
+    stay = stored(starred.filter("more").join(far, ["centre", "node"]).select("bucket", "node", "weight"))
+    sizes = stored(stay.groupBy("bucket").agg(F.count("*").alias("left")).filter("left > 1"))
+    return near, stay.join(sizes, "bucket")
+
+
+def _rest_stars(percent: int):
+    """The stars of one group of classes that cover each of its pairs that may be linked."""
+    least, inner, leave = cuts(percent)
+
+    def run(group: pa.Table) -> pa.Table:
+        node = group.column("node").to_numpy()
+        bytes_ = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(node), -1)
+        share = np.stack([(bytes_ == row).mean(axis=1) for row in bytes_])
+        close = share >= least
+        np.fill_diagonal(close, False)
+        here, many = np.ones(len(node), bool), close.sum(axis=1)
+        centre, other = [], []
+        while many.any():
+            c = int(many.argmax())
+            star = (many > 0) & (share[c] >= inner)
+            star[c] = False
+            centre.append(np.full(star.sum(), node[c]))
+            other.append(node[star])
+            done = here & (share[c] >= leave)
+            done[c] = True
+            here &= ~done
+            many = np.where(here, many - close[:, done].sum(axis=1), 0)
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"centre": np.concatenate(centre or none), "node": np.concatenate(other or none)})
 
-    return both.select("centre", "node", "_s", "_c").mapInArrow(run, "centre long, node long")
+    return run
+
+
+def rest_stars(members: DataFrame, one: DataFrame, percent: int) -> DataFrame:
+    """``centre, node`` of stars inside groups of at most about two ``BLOCK``; any two members of a bucket meet in a group."""
+    parts = F.ceil(F.col("left") / BLOCK)
+    mine = F.pmod(F.xxhash64("node", F.lit(9)), F.col("parts"))
+    dealt = members.join(one, "node").withColumn("parts", parts).withColumn("x", mine)
+    dealt = dealt.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("bucket", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "node", "signature")
+    return dealt.groupBy("bucket", "lo", "hi").applyInArrow(_rest_stars(percent), "centre long, node long")
+
+
+def alike_by_signature(sigs: DataFrame, percent: int) -> DataFrame:
+    """``centre, node``: stars that hold every pair of a bucket whose signatures do not rule it out.
+
+    A bucket gets one centre after the other, each among the members that the last one left, until
+    it has at most ``BLOCK`` of them; these, and what ``PASSES`` centres leave, are covered in groups.
+    """
+    one = stored(sigs.filter("node IS NOT NULL").groupBy("node").agg(F.min("signature").alias("signature")))
+    near, left = star_pass(bucket_members(sigs), one, percent)
+    found, small = near, []
+    for _ in range(PASSES - 1):
+        small.append(left.filter(F.col("left") <= BLOCK))
+        left = left.filter(F.col("left") > BLOCK)
+        if left.isEmpty():
+            break
+        near, left = star_pass(left.drop("left"), one, percent)
+        found = found.unionByName(near)
+    for some in small:
+        left = left.unionByName(some)
+    return found.unionByName(rest_stars(left, one, percent)).distinct()
 
 
 def full_sets(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
@@ -264,11 +347,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     the document of that id is kept. Texts without words (or null) have no shingles and are
     components of their own. Rows that share a doc_id and a set are one class; a null doc_id never
     names a component that has another id. An empty table gives no rows. A pair right at the
-    threshold is missed with probability ``MISS`` at most by the bands; everything after them is exact.
+    threshold is missed with probability ``MISS`` at most by the bands, and less often than one in a
+    million by its signatures (``SIGMAS``); everything after them is exact.
     """
     bands = bands_for(percent)
     sigs = stored(signatures(docs, shingle, bands, ["doc_id", *more]))
-    pairs = stored(alike_by_signature(stars(sigs), sigs, percent))
+    pairs = stored(alike_by_signature(sigs, percent))
     sets = stored(full_sets(docs, sigs, pairs, shingle))
     overlaps = stored(star_overlaps(pairs, sets))
     linked = overlaps.filter(F.col("overlap") * 100 >= F.col("united") * percent)

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from helpers import WORDS, components_by_brute_force, frame, hard_rows, random_texts
+from pyspark.sql import functions as F
 
 from haulmark.llm import neardup
 from haulmark.llm.components import components
@@ -59,3 +60,29 @@ def test_stars_join_chains_hubs_and_loops(spark):
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{100 + i: 100 for i in range(1, 60)}, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def in_buckets(monkeypatch, buckets):
+    """Deal documents to buckets by their id instead of by their bands."""
+    real = neardup.signatures
+
+    def dealt(docs, *rest):
+        named = [F.when(F.col("doc_id") == i, F.array(*[F.lit(b).cast("long") for b in bs])) for i, bs in buckets.items()]
+        return real(docs, *rest).withColumn("bands", F.coalesce(*named))
+
+    monkeypatch.setattr(neardup, "signatures", dealt)
+
+
+@pytest.mark.parametrize("block", [512, 2])
+def test_close_pairs_in_a_bucket_with_an_unlike_centre(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "PASSES", 2)
+    rng = random.Random(4)
+    ws = [f"{w}{i}" for i, w in enumerate(rng.choices(WORDS, k=200))]
+    # 1 and 2 are unlike the centre; 3 is near the centre and 4 is not, though 3 and 4 are linked.
+    rows = [(1, " ".join(ws[:80])), (2, " ".join(ws[2:82]))]
+    rows += [(3, " ".join(ws[116:196])), (4, " ".join(ws[120:200])), (9, " ".join(ws[103:183])), (10, "some other words of its own")]
+    in_buckets(monkeypatch, {1: [7], 2: [7], 3: [7], 4: [7], 9: [7, 8], 10: [8]})
+    got = near_duplicates(frame(spark, [(i, t, "en", "a") for i, t in rows]), 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_by_brute_force(rows, 3, 85)
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 3, 9: 9, 10: 10}
