@@ -241,9 +241,13 @@ def alike_by_signature(sigs: DataFrame, percent: int) -> DataFrame:
 def full_sets(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """``node, items``: the whole set of every class that a pair names, sorted."""
     wanted = pairs.select("node").union(pairs.select(F.col("centre").alias("node"))).distinct()
-    holder = stored(sigs.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node"))
-    near, _ = maybe_in(docs.select("doc_id", "text"), holder, "doc_id")
-    texts = near.join(holder.select("doc_id").distinct(), "doc_id", "left_semi")
+    # A row is found by its id and its text: ids can be null, and null ones have many texts.
+    key = ["_none", "_id", "_text"]
+    own = [F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), "_text"]
+    holders = sigs.filter("node IS NOT NULL").select("node", F.struct(*own).alias("_row")).groupBy("node").agg(F.min("_row").alias("_row"))
+    holder = stored(holders.join(wanted, "node").select("_row.*"))
+    near, _ = maybe_in(docs.select("text", *own), holder, *key)
+    texts = near.join(holder.distinct(), key, "left_semi")
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -257,7 +261,6 @@ def full_sets(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, shingle: int)
             yield made.filter(pa.array(n > 0))
 
     sets = texts.select("text").mapInArrow(run, "node long, items array<long>")
-    # Rows that share an id with a wanted one bring sets of their own; they find no pair.
     return sets.dropDuplicates(["node"])
 
 
@@ -351,7 +354,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     million by its signatures (``SIGMAS``); everything after them is exact.
     """
     bands = bands_for(percent)
-    sigs = stored(signatures(docs, shingle, bands, ["doc_id", *more]))
+    docs = docs.withColumn("_text", F.xxhash64("text"))
+    sigs = stored(signatures(docs, shingle, bands, ["doc_id", "_text", *more]))
     pairs = stored(alike_by_signature(sigs, percent))
     sets = stored(full_sets(docs, sigs, pairs, shingle))
     overlaps = stored(star_overlaps(pairs, sets))

@@ -53,6 +53,15 @@ def test_hard_rows(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_copies_without_an_id(spark):
+    ws = [f"{w}{i}" for i, w in enumerate(random.Random(5).choices(WORDS, k=200))]
+    rows = [(1, " ".join(ws[:80])), (None, " ".join(ws[2:82])), (2, " ".join(ws[100:180])), (3, " ".join(ws[110:190])), (None, " ".join(ws[105:185]))]
+    got = near_duplicates(frame(spark, [(i, t, "en", "a") for i, t in rows]), 3, 85).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got) == [(0, 1, False), (0, 2, False), (1, 1, True), (2, 2, True), (3, 2, False)]
+    # Without the rows that have no id, 2 and 3 are not linked.
+    assert [c for _, c in components_by_brute_force([r for r in rows if r[0]], 3, 85).values()] == [1, 2, 3]
+
+
 def test_stars_join_chains_hubs_and_loops(spark):
     chain = [(i, i + 1) for i in range(40)]
     hub = [(100, 100 + i) for i in range(1, 60)]
@@ -76,7 +85,7 @@ def in_buckets(monkeypatch, buckets):
 @pytest.mark.parametrize("block", [512, 2])
 def test_close_pairs_in_a_bucket_with_an_unlike_centre(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
-    monkeypatch.setattr(neardup, "PASSES", 2)
+    monkeypatch.setattr(neardup, "PASSES", 2, raising=False)
     rng = random.Random(4)
     ws = [f"{w}{i}" for i, w in enumerate(rng.choices(WORDS, k=200))]
     # 1 and 2 are unlike the centre; 3 is near the centre and 4 is not, though 3 and 4 are linked.
