@@ -180,3 +180,6 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     step = lambda n: F.expr(f"CAST(doc_id DIV {n} AS STRING)")
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), step(1000), step(50), F.col("doc_id").cast("string"))
     return scan_licenses(docs.select("doc_id", "text", path.alias("path")))
+
+
+from haulmark.llm import build_queries as _build_queries  # noqa: E402, F401  (it registers its queries here)
