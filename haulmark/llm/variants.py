@@ -18,6 +18,7 @@ count again; an empty table gives no words. Columns other than doc_id and text a
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm.common import small_batches, stored
-from haulmark.llm.words import U64, mix
+from haulmark.llm.common import small_batches, stored, text_slices
+from haulmark.llm.words import _LOWER, U64, joined, mix
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LETTER = np.zeros(256, bool)
+_LETTER[ord("a") : ord("z") + 1] = _LETTER[0xC3] = True
+#: Words that a task holds with their counts before it hands them on.
+HELD_WORDS = 200_000
 #: Rows that leave Python at a time.
 BATCH_ROWS = 50_000
-#: Letters of a word, as in a pattern.
-LETTERS = r"A-Za-zÀ-ÿ"
 
 
 def count_words(docs: DataFrame, least_length: int = 7, least_count: int = 2, damage: int = 31) -> DataFrame:
@@ -41,22 +43,60 @@ def count_words(docs: DataFrame, least_length: int = 7, least_count: int = 2, da
     A run whose crc32 of ``<doc_id>:<run>`` is divisible by ``damage`` loses the letter at that
     number modulo its length, which plants misspellings; 0 plants none.
     """
-    # A shorter run cannot become a word, and a match is as long as it can be.
-    runs = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"[{LETTERS}]{{{least_length},}}"), F.lit(0))).alias("run"))
-    words = runs.select("doc_id", F.translate("run", UPPER, LOWER).alias("word"))
-    if damage:
-        h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("word")).cast("binary"))
-        cut = F.expr("concat(substring(word, 1, int(h % char_length(word))), substring(word, int(h % char_length(word)) + 2))")
-        words = words.withColumn("h", h).select(F.when(F.col("h") % damage == 0, cut).otherwise(F.col("word")).alias("word"))
-        words = words.filter(F.char_length("word") >= least_length)
-    counted = words.groupBy("word").agg(F.count("*").alias("n"))
-    return counted.filter(F.col("n") >= least_count)
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[bytes, int] = {}
+        for batch in text_slices(batches):
+            _count(batch.column("text"), batch.column("doc_id").to_pylist(), least_length, damage, counts)
+            if len(counts) > HELD_WORDS:
+                yield _counted(counts)
+                counts.clear()
+        if counts:
+            yield _counted(counts)
+
+    counted = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(run, "word string, n long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
+
+
+def _counted(counts: dict[bytes, int]) -> pa.RecordBatch:
+    words = pa.array(list(counts), pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays([words, pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+
+def _count(texts: pa.Array, ids: list[str | None], least_length: int, damage: int, counts: dict[bytes, int]) -> None:
+    """Add the words of some texts to ``counts``: runs are cut in numpy, only long ones become strings."""
+    data, starts = joined(texts)
+    data = _LOWER[data]
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = _LETTER[data]
+    # In UTF-8 the byte C3 leads the characters U+00C0 to U+00FF and no others.
+    inside[2:] |= np.append(data[:-1] == 0xC3, False)
+    edge = np.diff(inside)
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    second = np.concatenate([[0], np.cumsum(data == 0xC3)])
+    long_ = end - begin - (second[end] - second[begin]) >= least_length
+    begin, end = begin[long_], end[long_]
+    owner = np.searchsorted(starts, begin, "right") - 1
+    seeds = [zlib.crc32(f"{i or ''}:".encode()) for i in ids]
+    whole = data.tobytes()
+    for a, b, t in zip(begin.tolist(), end.tolist(), owner.tolist(), strict=True):
+        word = whole[a:b]
+        if damage:
+            h = zlib.crc32(word, seeds[t])
+            if h % damage == 0:
+                letters = word.decode()
+                cut = h % len(letters)
+                if len(letters) == least_length:
+                    continue
+                word = (letters[:cut] + letters[cut + 1 :]).encode()
+        counts[word] = counts.get(word, 0) + 1
 
 
 def _prefixes(words: DataFrame) -> DataFrame:
     """A row per word, direction and prefix that a walk can meet: ``size`` letters, ``node``, and the letter that follows.
 
-    A walk for a word of at most one letter more starts no earlier than ``(length - 1) // 2``.
+    Walks end in words of their own length or one letter less, so none starts before ``length // 2``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +120,7 @@ def _prefix_rows(ids: np.ndarray, texts: list[str]) -> Iterator[pa.RecordBatch]:
         while len(alive):
             at = first[alive] + (lengths[alive] - 1 - p if back else p)
             more = p < lengths[alive]
-            wanted = p >= (lengths[alive] - 1) // 2
+            wanted = p >= lengths[alive] // 2
             some = alive[wanted]
             if len(some):
                 follows = np.where(more, letters[np.clip(at, 0, len(letters) - 1)].astype(np.int64), -1)[wanted]
@@ -107,30 +147,32 @@ def _trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = prefixes.join(nodes, "node", "left_semi")
     paths = kept.groupBy("id", "back").agg(F.sort_array(F.collect_list(F.struct("size", "node"))).alias("path"))
     said = F.when(F.col("back"), F.reverse("word")).otherwise(F.col("word"))
-    paths = stored(paths.join(words, "id").select("word", "n", "back", said.alias("w"), "path"))
+    paths = stored(paths.join(words, "id").select("n", "back", said.alias("w"), "path"))
     steps = paths.withColumn("i", F.explode(F.expr("sequence(0, size(path) - 2)"))).filter("i >= 0 AND i < size(path) - 1")
     steps = steps.selectExpr(
         "path[i].node AS node", "path[i + 1].node AS child", "path[i + 1].size AS size", "char_length(w) AS length",
         "substring(w, path[i].size + 1, path[i + 1].size - path[i].size) AS said",
-        "CASE WHEN path[i + 1].size = char_length(w) THEN struct(word AS near, n AS near_n) END AS ending",
+        "CASE WHEN path[i + 1].size = char_length(w) THEN struct(w AS near, n AS near_n) END AS ending",
     )
-    edges = steps.groupBy("node", "child", "size", "said").agg(
+    edges = stored(steps.groupBy("node", "child", "size", "said").agg(
         F.min("length").alias("shortest"), F.max("length").alias("longest"), F.collect_set("ending").alias("endings")
-    )
+    ).withColumn("letter", F.substring("said", 1, 1)))
+    # The letters that can follow an edge, to end hopeless walks early; no more than the alphabet has.
+    after = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set("letter"), "").alias("after"))
+    edges = stored(edges.join(after, "child", "left").withColumns({"after": F.coalesce("after", F.lit("")), "m": F.char_length("said")}))
     half = "char_length(w) div 2"
-    states = paths.selectExpr("word", "w", f"int({half}) AS position", f"filter(path, x -> x.size = {half})[0].node AS node", "0 AS edits")
-    return stored(edges), states
+    states = paths.selectExpr("w", "n", "back", f"int({half}) AS position", f"filter(path, x -> x.size = {half})[0].node AS node", "0 AS edits")
+    return edges, states
 
 
-#: What a state becomes on an edge that says ``said`` (m letters): the letters it takes, and its edits.
+#: What a state without edits becomes on an edge that says ``said`` (m letters): the letters it takes, and its edits.
+#: Of two words of one length the walk is that of the one with the smaller letter, else that of the longer word.
 _STEPS = """
 filter(array(
-  CASE WHEN substring(w, position + 1, m) = said THEN struct(position + m AS position, edits AS edits) END,
-  CASE WHEN edits = 0 AND rest >= m AND levenshtein(substring(w, position + 1, m), said, 1) = 1
+  CASE WHEN substring(w, position + 1, m) = said THEN struct(position + m AS position, 0 AS edits) END,
+  CASE WHEN rest >= m AND substring(w, position + 1, m) < said AND (m = 1 OR levenshtein(substring(w, position + 1, m), said, 1) = 1)
        THEN struct(position + m AS position, 1 AS edits) END,
-  CASE WHEN edits = 0 AND rest >= m - 1 AND levenshtein(substring(w, position + 1, m - 1), said, 1) = 1
-       THEN struct(position + m - 1 AS position, 1 AS edits) END,
-  CASE WHEN edits = 0 AND rest > m AND levenshtein(substring(w, position + 1, m + 1), said, 1) = 1
+  CASE WHEN rest > m AND contains(substring(w, position + 1, 2), letter) AND levenshtein(substring(w, position + 1, m + 1), said, 1) = 1
        THEN struct(position + m + 1 AS position, 1 AS edits) END
 ), x -> x IS NOT NULL)
 """
@@ -139,30 +181,37 @@ filter(array(
 def near_words(words: DataFrame) -> DataFrame:
     """Ordered pairs ``word``, ``near`` of words one edit apart, with ``near_n``; ``words`` has ``id`` (unique), ``word``, ``n``."""
     edges, states = _trie(words)
-    edges = edges.withColumn("m", F.char_length("said"))
-    found = []
+    state, found = ["w", "n", "back", "position", "node", "edits"], []
     while True:
-        met = states.join(edges, "node").withColumn("rest", F.expr("char_length(w) - position"))
-        # Some word below the edge has to have the right length.
-        slack = F.when(F.col("edits") == 0, 1).otherwise(0)
         length = F.char_length("w")
-        off = F.col("size") - F.col("m") - F.col("position")  # letters the trie is ahead of the word
-        met = met.filter((length + off + slack >= F.col("shortest")) & (length + off - slack <= F.col("longest")))
-        moved = met.withColumn("to", F.explode(F.expr(_STEPS))).selectExpr(
-            "word", "w", "to.position AS position", "child AS node", "to.edits AS edits", "endings",
-            "size - to.position + char_length(w) AS full", "shortest", "longest",
-        )
-        moved = moved.filter("full + 1 - edits >= shortest AND full - 1 + edits <= longest")
-        level = stored(moved.drop("full", "shortest", "longest"))
-        done = "edits = 1 AND position = char_length(w)"
-        found.append(level.filter(done).select("word", F.inline("endings")))
-        states = level.filter(f"NOT ({done})").drop("endings")
+        fresh = states.filter("edits = 0").join(edges, "node").withColumn("rest", length - F.col("position"))
+        fresh = fresh.filter((length >= F.col("shortest")) & (length - 1 <= F.col("longest"))).withColumn("to", F.explode(F.expr(_STEPS)))
+        # After its edit a walk can only go where its next letter leads.
+        spent = states.filter("edits = 1").withColumn("letter", F.substring("w", F.col("position") + 1, F.lit(1))).join(edges, ["node", "letter"])
+        spent = spent.filter("substring(w, position + 1, m) = said").withColumn("to", F.struct((F.col("position") + F.col("m")).alias("position"), "edits"))
+        columns = ["w", "n", "back", "to.position AS position", "child AS node", "to.edits AS edits", "size", "shortest", "longest", "after", "endings"]
+        moved = fresh.selectExpr(*columns).unionByName(spent.selectExpr(*columns))
+        # Some word below has the length that is left, and a letter that goes on, or the walk ends in a word.
+        left = length - F.col("position")
+        full = F.col("size") + left
+        ends = (left == 0) & (F.size("endings") > 0)
+        goes_on = (left > 0) & F.contains("after", F.substring("w", F.col("position") + 1, F.lit(1)))
+        spent_on = (full >= F.col("shortest")) & (full <= F.col("longest")) & (ends | goes_on)
+        fresh_on = (full >= F.col("shortest")) & (full - 1 <= F.col("longest")) & (left > 0)
+        moved = moved.filter(F.when(F.col("edits") == 1, spent_on).otherwise(fresh_on))
+        done = (F.col("edits") == 1) & (F.char_length("w") == F.col("position"))
+        level = stored(moved.select(*state, F.when(done, F.col("endings")).alias("endings")))
+        found.append(level.filter("endings IS NOT NULL").select("w", "n", "back", F.inline("endings")))
+        states = level.filter("endings IS NULL").drop("endings")
         if states.isEmpty():
             break
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    return pairs.distinct().filter("levenshtein(word, near, 1) = 1")
+    turn = lambda c: F.when(F.col("back"), F.reverse(c)).otherwise(F.col(c))
+    pairs = pairs.select(turn("w").alias("word"), "n", turn("near").alias("near"), "near_n").distinct()
+    pairs = stored(pairs.filter("levenshtein(word, near, 1) = 1"))
+    return pairs.select("word", "near", "near_n").unionByName(pairs.selectExpr("near AS word", "word AS near", "n AS near_n"))
 
 
 def spelling_variants(docs: DataFrame, least_length: int = 7, least_count: int = 2, damage: int = 31, ratio: int = 10) -> DataFrame:

@@ -183,8 +183,8 @@ def digests_by_brute_force(rows):
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files_round_trip(spark, encoding):
     rng = random.Random(2)
-    rows = [(i, t) for i, t in enumerate(ODD)] + [(100 + i, " ".join(rng.choice(["alpha", "beta,", "Gamma", "42"]) for _ in range(rng.randint(0, 400)))) for i in range(300)]
-    rows += [(900, None), (901, "very long " * 60_000)]
+    rows = [(100 + i, " ".join(rng.choice(["alpha", "beta,", "Gamma", "42"]) for _ in range(rng.randint(0, 400)))) for i in range(300)]
+    rows += [(2000 + i, t) for i, t in enumerate(ODD)] + [(2900, None), (2901, "very long " * 60_000)]
     mixed = rows[:]
     rng.shuffle(mixed)
     path = tempfile.mkdtemp(prefix="run-") + "/tokens"
