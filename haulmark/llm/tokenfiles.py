@@ -15,7 +15,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +29,15 @@ from pyspark.sql import functions as F
 
 from haulmark.llm.common import small_batches, text_slices
 
-#: Encoded pieces a task remembers; at about 200 bytes each they stay below 60 MB.
-REMEMBERED = 300_000
+#: Encoded pieces a task remembers; at about 200 bytes each they stay below 80 MB.
+REMEMBERED = 400_000
+# Letters of ASCII and Latin-1, and characters that are neither blank nor outside of these.
+_L, _SEEN = "A-Za-zÀ-ÖØ-öø-ÿ", "!-~À-ÖØ-öø-ÿ"
+#: A word where a byte-level tokenizer surely starts and ends a piece: letters up to a character that
+#: is surely no letter, with the space before them if that follows a visible character; or letters after a mark
+#: or digit (an apostrophe may belong to them) or after a single line end.
+_WORD = rf"(?:(?<=[{_SEEN}]) |(?<=[!-&(-@\[-`{{-~])|(?<=[{_SEEN}]\n))[{_L}]++(?![^\x00-\x7f])"
+_PIECES = re.compile(rf"{_WORD}|(?:(?!{_WORD}).)+", re.S)
 #: How the id column is written: by dictionary pages, or as differences of neighbouring ids.
 ENCODINGS = {
     "dictionary": {"parquet.enable.dictionary": "true", "parquet.writer.version": "PARQUET_1_0"},
@@ -35,67 +45,72 @@ ENCODINGS = {
 }
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next free one."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in own)
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
     """Ids of whole texts as little-endian 32-bit numbers, with a bounded memory of encoded pieces.
 
-    A byte-level tokenizer that splits by its standard pattern always begins a new piece at a space that
-    stands between a visible ASCII character and an ASCII letter, and never looks back beyond it.
-    Texts are cut there and equal pieces are encoded once. Any other tokenizer gets whole texts.
+    Where the tokenizer splits by the standard byte-level pattern, texts are cut where that pattern is
+    sure to start a piece and never looks across, and equal pieces are encoded once. Texts that hold
+    an added token, and texts for any other tokenizer, are encoded whole.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are written as little-endian 32-bit numbers")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        made = json.loads(tokenizer_json)
         self.library = Tokenizer.from_str(tokenizer_json)
+        self.model, self.letters = self.library.model, byte_letters()
         self.known: dict[str, bytes] = {}
-        self.by_pieces = splits_at_words(json.loads(tokenizer_json))
+        self.by_pieces = splits_at_words(made)
+        self.added = [t["content"] for t in made.get("added_tokens") or []]
 
-    def learn(self, pieces: list[str]) -> None:
-        found = self.library.encode_batch_fast(pieces, add_special_tokens=False)
-        self.known.update(zip(pieces, [np.array(e.ids, "<u4").tobytes() for e in found], strict=True))
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, pieces: set[str]) -> None:
+        words = [p for p in pieces if p[-1:].isalpha() and p.lstrip(" ").isalpha()]
+        for word in words:
+            spelt = word.encode().decode("latin-1").translate(self.letters)
+            self.known[word] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        rest = list(pieces.difference(words))
+        self.known.update(zip(rest, self.whole(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_pieces:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            return self.whole(texts)
         if len(self.known) > REMEMBERED:
             self.known = {}
-        cut = [cut_at_words(t) for t in texts]
-        new = set().union(*cut).difference(self.known)
-        self.learn(list(new))
-        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
-        if len(self.known) > REMEMBERED + len(new):
-            self.known = {}
-        return out
+        cut = [None if any(a in t for a in self.added) else _PIECES.findall(t) for t in texts]
+        self.learn(set().union(*filter(None, cut)).difference(self.known))
+        known = self.known.__getitem__
+        return [self.whole([t])[0] if pieces is None else b"".join(map(known, pieces)) for t, pieces in zip(texts, cut, strict=True)]
 
 
 def splits_at_words(made: dict) -> bool:
-    """Whether pieces of ``cut_at_words`` can be encoded one by one."""
-    split, added = made.get("pre_tokenizer") or {}, made.get("added_tokens") or []
+    """Whether pieces can be encoded one by one."""
+    split = made.get("pre_tokenizer") or {}
     return (
         made.get("normalizer") is None
+        and made.get("model", {}).get("type", "BPE") == "BPE"
         and split.get("type") == "ByteLevel"
         and split.get("use_regex", True)
         and not split.get("add_prefix_space", True)
         and not made.get("truncation")
-        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in added)
     )
 
 
 def cut_at_words(text: str) -> list[str]:
-    """The text in pieces, each but the first starting with a space before an ASCII letter."""
-    out: list[str] = []
-    open_piece: str | None = None
-    for word in text.split(" "):
-        if open_piece is None:
-            open_piece = word
-        elif "!" <= open_piece[-1:] <= "~" and ("a" <= word[:1] <= "z" or "A" <= word[:1] <= "Z"):
-            out.append(open_piece)
-            open_piece = " " + word
-        else:
-            open_piece += " " + word
-    out.append(open_piece or "")
-    return out
+    """The text in pieces that can be encoded one by one."""
+    return _PIECES.findall(text)
 
 
 def tokenizer_text(path: str) -> str:
@@ -170,7 +185,8 @@ def _started(spark: SparkSession, path: str, where: str | None = None) -> DataFr
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
     chosen = rows.filter(where) if where else rows
-    return chosen.join(starts, "part").withColumn("start", F.col("_start") + F.col("offset"))
+    # One row per file; the rows with ids are not shuffled.
+    return chosen.join(F.broadcast(starts), "part").withColumn("start", F.col("_start") + F.col("offset"))
 
 
 def id_checksums(tokens: DataFrame) -> DataFrame:

@@ -151,7 +151,7 @@ def test_variants_of_an_empty_table(spark):
 
 ODD = [
     "", " ", "  two  spaces", "a\nb\n\n c \t d", "don't can't I'll  we've", "x <|endoftext|> y", "foo<|endoftext|>bar <|endoftext|>", "été naïve 中文 \U0001f600 ok",
-    "1234 5678,90 a1 b2", "end ", " start", "no break space \u0085 x", "A" * 3000, "word " * 500, "tab\tword word", "́ combining áb", "a - b -- c --d",
+    "1234 5678,90 a1 b2", "end ", " start", "no break space \u0085 x", "A" * 3000, "word " * 500, "tab\tword word", "a.\n\nWord\nword\n word x\r\ny", "it's 'sword 'Tis l'été d'Été ñandú—és «été» ÿ", "́ combining áb", "a - b -- c --d",
 ]
 
 
