@@ -366,8 +366,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     if not across.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across))
     classes = sigs.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("_lowest"))
-    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = rooted.groupBy("root").agg(F.min("_lowest").alias("component_id"))
+    rooted = stored(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    # Written before it is joined: then Spark can split the classes of one large component.
+    lowest = stored(rooted.groupBy("root").agg(F.min("_lowest").alias("component_id")))
     named = stored(rooted.join(lowest, "root").select("node", "component_id"))
     out = sigs.select("doc_id", *more, "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
