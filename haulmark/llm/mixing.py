@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm.common import WORD, stored
+from haulmark.llm.common import stored, told_apart, WORD
 from haulmark.operators.ordering import prefix_sums, row_numbers
 
 #: Documents that one task moves together; a source of more is cut into blocks of about as many.
@@ -136,14 +136,17 @@ def mix_sources(docs: DataFrame, most: float = 3.0, block: int = BLOCK, key: Col
     block per source lands the last two.
     """
     key = F.lit(0).cast("long") if key is None else key
-    sizes = stored(docs.select("doc_id", "source", word_count().alias("size"), key.alias("key")))
+    sizes = docs.select("doc_id", "source", word_count().alias("size"), key.alias("key"))
+    sizes = stored(told_apart(sizes, "doc_id", "key"))
+    # Rows of equal id and key have hashes of their own: no block and no salt gets all of them.
+    own = F.when(F.col("_nth") == 0, F.xxhash64("doc_id", "key")).otherwise(F.xxhash64("doc_id", "key", "_nth"))
     named = [F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")]
     targets = stored(source_targets(sizes, most)).select(*named, "place", "source_size", "target")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = sizes.select("doc_id", "key", "size", *named)
-    units = by_source(rows, targets, F.xxhash64("doc_id", "key"), ["none", "name"]).select(
+    rows = sizes.select("doc_id", "key", "size", *named, own.alias("order"))
+    units = by_source(rows, targets, F.col("order"), ["none", "name"]).select(
         "doc_id", "key", "size", "place", "source_size", "target",
-        F.floor(ratio + SETTLED).alias("whole"), F.xxhash64("doc_id", "key").alias("order"),
+        F.floor(ratio + SETTLED).alias("whole"), "order",
         F.greatest(ratio - F.floor(ratio + SETTLED), F.lit(0.0)).alias("p"),
     )
     units = units.withColumn("p", F.when(F.col("p") < SETTLED, F.lit(0.0)).otherwise(F.col("p")))
