@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm.common import stored
+from haulmark.llm.common import stored, told_apart
 from haulmark.llm.mixing import word_count
 
 LENGTHS = (512, 1024, 2048, 4096)
@@ -140,7 +140,10 @@ def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, block: i
     """
     if min(lengths) < 1 or max(lengths) >= 1 << 20:
         raise ValueError("sequence lengths must lie between 1 and 2**20 - 1 words")
-    rest, level, out = stored(pieces_of(docs, max(lengths))), 0, []
+    # Equal pieces get hashes of their own, so that copies do not fill one block.
+    pieces = told_apart(pieces_of(docs, max(lengths)), "order", "begin")
+    own = F.when(F.col("_nth") == 0, F.col("order")).otherwise(F.xxhash64("order", "_nth"))
+    rest, level, out = stored(pieces.withColumn("order", own).drop("_nth")), 0, []
     columns = ["doc_id", "order", "begin", "size"]
     pieces = rest.count()
     while True:
