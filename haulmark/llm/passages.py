@@ -36,8 +36,8 @@ _LAST = (1 << 63) - 1
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``doc, key, text``: the id, and a hash of the text so that rows with one id stay apart."""
-    return docs.select(F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("doc"), F.hash("text").alias("key"), "text")
+    """``doc, key, text``: the id, and a hash of the text so that rows with one id stay apart (64 bits)."""
+    return docs.select(F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("doc"), F.xxhash64("text").alias("key"), "text")
 
 
 def runs_of_edges(rows: DataFrame, window: int, small: int) -> DataFrame:
@@ -71,7 +71,7 @@ def runs_of_edges(rows: DataFrame, window: int, small: int) -> DataFrame:
                 names=["minimizer", "path", "doc", "key", "begin", "edges"],
             )
 
-    return rows.mapInArrow(run, "minimizer long, path long, doc long, key int, begin int, edges int")
+    return rows.mapInArrow(run, "minimizer long, path long, doc long, key long, begin int, edges int")
 
 
 def open_edges(rows: DataFrame, window: int) -> DataFrame:
@@ -97,12 +97,12 @@ def open_edges(rows: DataFrame, window: int) -> DataFrame:
                 names=["e1", "e2", "doc", "key", "begin"],
             )
 
-    return rows.mapInArrow(run, "e1 long, e2 long, doc long, key int, begin int")
+    return rows.mapInArrow(run, "e1 long, e2 long, doc long, key long, begin int")
 
 
 def per_text(runs: DataFrame) -> DataFrame:
-    """Runs of each text in one row; a text has fewer runs than words."""
-    return runs.groupBy("doc", "key").agg(F.collect_list(F.struct("begin", "edges")).alias("runs"))
+    """Runs of each text in one row; a text has fewer runs than words, and copies of one id have the same."""
+    return runs.groupBy("doc", "key").agg(F.collect_set(F.struct("begin", "edges")).alias("runs"))
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, small: int = MINIMIZER) -> DataFrame:
@@ -168,7 +168,7 @@ def cut_passages(docs: DataFrame, keep: list[str], window: int = WINDOW, with_te
     window lose nothing. Names of further columns do not matter.
     """
     runs = stored(per_text(repeated_runs(docs, window)))
-    own = [F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("_doc"), F.hash("text").alias("_key")]
+    own = [F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("_doc"), F.xxhash64("text").alias("_key")]
     rows = docs.select(*dict.fromkeys([*keep, "text"]), *own)
     wanted = runs.select(F.col("doc").alias("_doc"), F.col("key").alias("_key"))
     near, far = maybe_in(rows, wanted, "_doc", "_key")
