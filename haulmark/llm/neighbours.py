@@ -90,34 +90,51 @@ def bounds(tree: Tree, q: np.ndarray) -> np.ndarray:
 
 
 def search(tree: Tree, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and points found for each query: first its most promising leaf, then all leaves that may improve."""
+    """Scores and points found for each query: first its most promising leaf, then all leaves that may improve.
+
+    Points are ordered by their exact inner product, then by their smallest id. Matrix products
+    only choose which points are looked at: whatever rounding could turn over is kept.
+    """
     q = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
     k = min(k + 1, len(tree.points))  # one more, as a query may find itself
-    least = bounds(tree, q)
-    near, found = np.full((len(q), k), np.inf), np.full((len(q), k), -1)
-    square = (q**2).sum(axis=1)
+    norms = np.sqrt((q**2).sum(axis=1))
+    # Distances come from differences of squares, which are off by about the root of the precision.
+    least = np.maximum(bounds(tree, q) - 4e-8 * np.sqrt(q.shape[1]) * (norms + tree.longest)[:, None], 0)
+    slack = 1e-15 * q.shape[1] * norms * tree.longest
+    first_id = np.array([i[0] for i in tree.ids])
+    score, found = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
+    name = np.full((len(q), k), np.iinfo(np.int64).max)
 
     def look(x: int, rows: np.ndarray) -> None:
         a, b = tree.leaf_at[x : x + 2]
-        part = tree.lifted[a:b]
-        d = np.sqrt(np.maximum(square[rows][:, None] + (part**2).sum(axis=1) - 2 * q[rows] @ part.T, 0))
-        better = (d < near[rows].max(axis=1)[:, None]).any(axis=1)
-        rows, d = rows[better], d[better]
+        near = queries[rows] @ tree.points[a:b].T >= (score[rows, -1] - slack[rows])[:, None]
+        rows, near = rows[near.any(axis=1)], near[near.any(axis=1)]
         if not len(rows):
             return
-        all_d = np.concatenate([near[rows], d], axis=1)
-        all_i = np.concatenate([found[rows], np.broadcast_to(np.arange(a, b), d.shape)], axis=1)
-        best = np.argpartition(all_d, k - 1, axis=1)[:, :k]
-        near[rows], found[rows] = np.take_along_axis(all_d, best, 1), np.take_along_axis(all_i, best, 1)
+        i, j = np.nonzero(near)
+        width = int(near.sum(axis=1).max())
+        place = np.arange(len(i)) - np.concatenate([[0], np.cumsum(near.sum(axis=1))[:-1]])[i]
+        new = np.full((len(rows), width), -np.inf)
+        # Summed in one fixed order, so equal vectors score equal wherever they lie.
+        new[i, place] = np.concatenate(
+            [(tree.points[a + j[s : s + STEP * 64]] * queries[rows[i[s : s + STEP * 64]]]).sum(axis=1) for s in range(0, len(i), STEP * 64)]
+        )
+        points, names = np.full(new.shape, -1), np.full(new.shape, np.iinfo(np.int64).max)
+        points[i, place], names[i, place] = a + j, first_id[a + j]
+        all_s, all_p, all_n = (np.concatenate([o[rows], m], axis=1) for o, m in ((score, new), (found, points), (name, names)))
+        best = np.lexsort((all_n, -all_s), axis=1)[:, :k]
+        score[rows], found[rows], name[rows] = (np.take_along_axis(m, best, 1) for m in (all_s, all_p, all_n))
 
     first = least.argmin(axis=1)
     for x in np.unique(first):
         look(x, np.flatnonzero(first == x))
+    square = norms**2 + tree.longest**2
     for x in np.argsort(least.mean(axis=0), kind="stable"):
-        rows = np.flatnonzero((first != x) & (factor * least[:, x] <= near.max(axis=1) + 1e-9))
+        # Squared distance is ``square`` less twice the inner product.
+        rows = np.flatnonzero((first != x) & ((factor * least[:, x]) ** 2 <= square - 2 * score[:, -1] + 1e-14 * q.shape[1] * square))
         if len(rows):
             look(x, rows)
-    return near, found
+    return score, found
 
 
 def _search_shard(k: int, factor: float):
@@ -130,11 +147,9 @@ def _search_shard(k: int, factor: float):
         q, names, out = np.stack(asked["vector"].to_list()).astype(np.float64), asked["vec_id"].tolist(), []
         for a in range(0, len(q), STEP):
             block = q[a : a + STEP]
-            _, found = search(tree, block, k, factor)
-            for row, name, points in zip(block, names[a : a + STEP], found, strict=True):
-                points = points[points >= 0]
-                # Summed in one fixed order, so equal vectors score equal wherever they lie.
-                score = (tree.points[points] * row).sum(axis=1)
+            scores, found = search(tree, block, k, factor)
+            for score, name, points in zip(scores, names[a : a + STEP], found, strict=True):
+                score, points = score[points >= 0], points[points >= 0]
                 pairs = [(-s, i) for s, p in zip(score.tolist(), points.tolist(), strict=True) for i in tree.ids[p].tolist() if i != name]
                 pairs = sorted(pairs)[:k]
                 out.append((name, int(key[0]), [-s for s, _ in pairs], [i for _, i in pairs]))
@@ -159,13 +174,16 @@ def nearest_neighbours(
     Queries are the vectors whose id is divisible by ``every``; all vectors but the query's own are
     candidates. Vectors that are null, zero, or hold a null or non-finite component take no part.
     Ties go to the smaller id; rows that share an id count once; with fewer candidates than k all
-    are returned; an empty table gives no rows. Vectors must have one dimension. Each shard of about ``shard`` vectors
+    are returned; an empty table gives no rows. If lengths differ, the commonest counts (ties: the
+    longer) and other vectors take no part. Each shard of about ``shard`` vectors
     builds its own tree and takes every query in blocks; lists of a query are merged a few at
     a time. ``factor`` 1 is exact.
     """
     if factor < 1:
         raise ValueError("factor must be 1 (exact) or more")
     good = stored(usable(vectors, column))
+    widths = good.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1)
+    good = good.filter(F.size("vector") == F.coalesce(widths.select("d").scalar(), F.lit(0)))
     asked = good.filter(F.col("vec_id") % every == 0)
     shards = max(1, -(-good.count() // shard))
     blocks = max(1, -(-asked.count() // QUERIES))
