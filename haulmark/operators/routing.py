@@ -17,7 +17,7 @@ from haulmark.functions.requests import (
     weight_per_package,
 )
 from haulmark.functions.text import normalize_place, plain_text
-from haulmark.operators.ordering import summarise
+from haulmark.operators.ordering import carry_forward, summarise
 from haulmark.operators.tariffs import in_force
 
 _REQUEST_ROUTE = ["origin_norm", "dest_norm", "mode_norm"]
@@ -160,22 +160,17 @@ def merge_thread(requests: DataFrame, own_address: str = DEFAULT.own_address) ->
     A field given now wins, otherwise the last one given; confidence is the highest so far
     and the request mark stays once set. Only messages marked as quote requests take over
     earlier fields. Messages of robots and our own are passed through as they are and tell
-    the thread nothing. One thread is a conversation of one customer, so the window per thread
-    is bounded by what a person writes.
+    the thread nothing. A thread of any length is scanned by many tasks.
     """
-    frame = (
-        Window.partitionBy("thread_id").orderBy("ts", "id_email").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
     heard = ~is_ignored_sender("remetente", own_address)
     takes = F.col("e_cotacao") & heard
     given = {c: F.col(c) != 0 for c in _MERGED_NUMBERS} | {c: F.col(c) != "" for c in _MERGED_TEXTS} | {"volumes": F.size("volumes") > 0}
-    cols = {}
-    for c, present in given.items():
-        newest = F.last(F.when(heard & present, F.col(c)), True).over(frame)
-        cols[c] = F.when(takes, F.coalesce(newest, F.col(c))).otherwise(F.col(c))
-    most = F.max(F.when(heard, confidence())).over(frame)
-    cols["confianca"] = F.when(takes, most).otherwise(F.col("confianca"))
-    return requests.withColumns(cols)
+    said = {f"_said_{c}": F.when(heard & present, F.col(c)) for c, present in given.items()}
+    told = requests.withColumns(said | {"_sure": F.when(heard, confidence())})
+    scanned = carry_forward(told, ["thread_id"], ["ts", "id_email"], list(said), ["_sure"])
+    cols = {c: F.when(takes, F.coalesce(f"last__said_{c}", F.col(c))).otherwise(F.col(c)) for c in given}
+    cols["confianca"] = F.when(takes, F.col("max__sure")).otherwise(F.col("confianca"))
+    return scanned.withColumns(cols).select(*requests.columns)
 
 
 def route_requests(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from haulmark.functions.base import count_if, flag
 from haulmark.functions.times import year_month
-from haulmark.operators.ordering import rank_of, summarise
+from haulmark.operators.ordering import ranks, summarise
 
 
 def sla_by(df: DataFrame, key: str, min_n: int = 200) -> DataFrame:
@@ -38,9 +38,8 @@ def sla_by(df: DataFrame, key: str, min_n: int = 200) -> DataFrame:
         F.round(100 * (F.col("late_orders") + F.col("overdue")) / F.col("orders"), 2).alias("honest_pct"),
         F.round("median_lead", 1).alias("median_lead"),
     ).withColumn("jump_pp", F.round(F.col("honest_pct") - F.col("reported_pct"), 2))
-    large = out.filter(F.col("orders") >= min_n).select(
-        F.col(key).alias("_key"), rank_of("reported_pct").alias("rank_reported"), rank_of("honest_pct").alias("rank_honest")
-    )
+    large = ranks(out.filter(F.col("orders") >= min_n), {"reported_pct": "rank_reported", "honest_pct": "rank_honest"})
+    large = large.select(F.col(key).alias("_key"), "rank_reported", "rank_honest")
     return out.join(large, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+
 from pyspark.sql import functions as F
 
 from haulmark.functions import geo as geo_fn
@@ -264,8 +266,9 @@ def _(t):
 _PLAIN = r"regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g')"
 _PLAIN = rf"regexp_replace({_PLAIN}, '(?i)<\s*(br|/\s*(p|div|tr|li|h[1-6]|table|ul))\b[^>]*>', chr(10), 'g')"
 _PLAIN = rf"regexp_replace({_PLAIN}, '<[^>\n]+>', ' ', 'g')"
-for _name, _char in text.HTML_ENTITIES.items():
-    _PLAIN = f"replace({_PLAIN}, '{_name}', chr({ord(_char)}))"
+# The references that the pages hold; the sign itself comes last.
+for _name, _code in {"nbsp": 160, "lt": 60, "gt": 62, "quot": 34, "apos": 39, "copy": 169, "middot": 183, "amp": 38}.items():
+    _PLAIN = f"replace({_PLAIN}, '&{_name};', chr({_code}))"
 _PLAIN = rf"regexp_replace(regexp_replace({_PLAIN}, '[ \t]{{2,}}', ' ', 'g'), '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g')"
 
 
@@ -274,6 +277,17 @@ def _(t):
     return t.table("pages").select("page_id", text.html_to_text("html").alias("plain"))
 
 
+#: References of every kind: named with and without an end, numeric, too large, surrogate, null, control, unfinished.
+_REFERENCES = "&eacute;&Aacute&notit;&ampx&hellip;&NotEqualTilde; &#233;&#xE9;&#x1F600;&#0;&#xD800;&#9999999;&#99999999999;&#150;&#7;&#13; &; &# &#x; &nosuch; &amp;lt; a&b"
+_DECODED = "||".join(f"chr({ord(c)})" for c in html.unescape(_REFERENCES))
+
+
+@query("page_references", f"SELECT page_id, {_DECODED}||page_id decoded, contains(html,'&')::INT has_reference FROM pages")
+def _(t):
+    both = F.concat(F.lit(_REFERENCES), F.col("page_id").cast("string"))
+    return t.table("pages").select("page_id", text.decode_references(both).alias("decoded"), F.contains("html", F.lit("&")).cast("int").alias("has_reference"))
+
+
 @query("page_markup_counts", r"""SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(html,'(?is)<(script).*?</script>|<(style).*?</style>',' ','g'),
 '(?i)<(br|/p|/div|/tr)[^>]*>',chr(10),'g'),'<[^>]+>','','g')) > 0 has_text FROM pages""")
 def _(t):
@@ -407,7 +421,7 @@ def _(t):
     return tariffs.fingerprint(_Q(t).tariffs).select("key", *tariffs.SENSITIVE)
 
 
-def _next_version(df):
+def next_version(df):
     """The table one load later: dearer rows, dropped rows, renamed rows."""
     n = F.col("line_no")
     return df.filter(n % 23 != 0).withColumns(
@@ -428,13 +442,16 @@ _CHANGED = " UNION ALL ".join(
 )
 
 
-@query("tariff_changes", f"""
+CHANGES_SQL = f"""
 WITH a AS (SELECT {_KEY} "key", {_LATEST} FROM tf_tariffs GROUP BY 1), b AS (SELECT {_KEY} "key", {_LATEST} FROM ({_NEXT}) GROUP BY 1)
 SELECT "key", 'nova' kind, NULL field, NULL "old", NULL "new" FROM b ANTI JOIN a USING ("key")
-UNION ALL SELECT "key", 'removida', NULL, NULL, NULL FROM a ANTI JOIN b USING ("key") UNION ALL {_CHANGED}""")
+UNION ALL SELECT "key", 'removida', NULL, NULL, NULL FROM a ANTI JOIN b USING ("key") UNION ALL {_CHANGED}"""
+
+
+@query("tariff_changes", CHANGES_SQL)
 def _(t):
     df = _Q(t).tariffs
-    return tariffs.diff_snapshots(tariffs.fingerprint(df), tariffs.fingerprint(_next_version(df)))
+    return tariffs.diff_snapshots(tariffs.fingerprint(df), tariffs.fingerprint(next_version(df)))
 
 
 @query("tariff_key_differences", """SELECT coalesce(a.id_rota,b.id_rota) id_rota, CASE WHEN b.id_rota IS NULL THEN 'left' WHEN a.id_rota IS NULL THEN 'right' ELSE 'both' END side
@@ -443,7 +460,7 @@ FROM (SELECT DISTINCT id_rota FROM tf_tariffs WHERE id_rota IS NOT NULL) a FULL
 def _(t):
     df = _Q(t).tariffs
     named = "id_rota IS NOT NULL"
-    return tariffs.key_diff(df.filter(named), _next_version(df).filter(named), "id_rota")
+    return tariffs.key_diff(df.filter(named), next_version(df).filter(named), "id_rota")
 
 
 def _load_log(t):

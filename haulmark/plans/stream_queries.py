@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from haulmark.config import CurationConfig
 from haulmark.operators import curation
-from haulmark.plans.quoting_queries import DAY
+from haulmark.plans.ctes import define
+from haulmark.plans.quoting_queries import CHANGES_SQL, DAY, next_version
 from haulmark.plans.registry import query
 from haulmark.session import use_utc, work_folder
 from haulmark.sources import quoting_inputs as inputs
@@ -26,7 +27,7 @@ def _finish(started):
     started.awaitTermination()
 
 
-@query("streamed_decisions", """SELECT outcome, count(*) n, round(coalesce(sum(CASE WHEN outcome='cotado' THEN total1 END),0),0) total
+@query("streamed_decisions", """SELECT outcome, count(*) n, round(coalesce(sum(CASE WHEN outcome='cotado' THEN total1 END),0),2) total
 FROM rq_decided GROUP BY 1""")
 def _(t):
     out = work_folder(t.spark)
@@ -34,7 +35,7 @@ def _(t):
     _finish(quotes.start_quote_stream(quotes.dedupe_stream(_feed(t)), loader, out, f"{out}/checkpoint", DAY))
     decisions = t.spark.read.parquet(f"{out}/decisions")
     return decisions.groupBy("outcome").agg(
-        F.count("*").alias("n"), F.round(F.coalesce(F.sum("quoted_total"), F.lit(0.0)), 0).alias("total")
+        F.count("*").alias("n"), F.round(F.coalesce(F.sum("quoted_total"), F.lit(0.0)), 2).alias("total")
     )
 
 
@@ -67,14 +68,59 @@ def _(t):
     return t.spark.read.parquet(f"{out}/threads").select("id_email", "qtd_volumes", "destino", "confianca")
 
 
-@query("streamed_thread_decisions")
+#: The feed comes in four batches by time; some requests of the first come with the last, some lack a time, an id or a thread.
+_BATCH = """CASE WHEN event_id%97=3 THEN 3 ELSE least(3, CAST(floor(4*(epoch_us(ts)-lo)/(hi-lo+1)) AS INT)) END"""
+define("st_feed", f"""SELECT event_id, user_id, ts, {_BATCH} batch, event_id%89=5 no_time, event_id%83=7 no_id, event_id%79=9 no_thread
+FROM events, (SELECT epoch_us(min(ts)) lo, epoch_us(max(ts)) hi FROM events)""")
+
+
+def _batched_requests(t):
+    """Requests with their batch, faults included."""
+    use_utc(t.spark)
+    events = t.table("events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    ends = events.select(F.min(micros).alias("lo"), F.max(micros).alias("hi"))
+    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
+    quarter = F.least(F.lit(3), F.floor(4 * (micros - lo) / (hi - lo + 1)).cast("int"))
+    batch = events.select(F.col("event_id").alias("_e"), F.when(F.col("event_id") % 97 == 3, 3).otherwise(quarter).alias("batch"))
+    rows = inputs.derive_requests(events).join(batch, F.col("id_email") == F.col("_e"))
+    e = F.col("_e")
+    return rows.withColumns(
+        {
+            "ts": F.when(e % 89 != 5, F.col("ts")), "id_email": F.when(e % 83 != 7, F.col("id_email")),
+            "thread_id": F.when(e % 79 != 9, F.col("thread_id")),
+        }
+    ).drop("_e")
+
+
+def _run_batches(t, loaders, state):
+    """Write the feed batch by batch and run the stream to its end after each; where decisions and rejects lie."""
+    out, requests = work_folder(t.spark), _batched_requests(t)
+    for i, loader in enumerate(loaders):
+        requests.filter(F.col("batch") == i).drop("batch").coalesce(1).write.mode("append").parquet(f"{out}/feed")
+        feed = state(quotes.read_requests(t.spark, f"{out}/feed"))
+        _finish(quotes.start_quote_stream(feed, loader, out, f"{out}/checkpoint", DAY))
+    return out
+
+
+@query("streamed_thread_decisions", """
+WITH mark AS (SELECT max(ts)-INTERVAL 7 DAY edge FROM st_feed WHERE batch<3 AND NOT (no_time OR no_id OR no_thread))
+SELECT CASE WHEN no_id THEN NULL ELSE event_id END id_email, CASE WHEN no_id THEN 'no id' WHEN no_thread THEN 'no thread' WHEN no_time THEN 'no time'
+ WHEN batch=3 AND date_trunc('millisecond',ts)<date_trunc('millisecond',edge) THEN 'late' END reject_reason FROM st_feed, mark""")
 def _(t):
-    """The whole request path: thread state, then decisions; one record has no time."""
-    out = work_folder(t.spark)
-    feed = _feed(t).withColumn("ts", F.when(F.col("id_email") != 5, F.col("ts")))
+    """The whole request path over four batches: thread state, decisions, rejects; every id once."""
     loader = lambda: inputs.derive_tariffs(t.spark, t.folder)
-    _finish(quotes.start_quote_stream(quotes.thread_state(feed), loader, out, f"{out}/checkpoint", DAY))
-    return t.spark.read.parquet(f"{out}/decisions").select("id_email", "outcome", "quoted_total")
+    out = _run_batches(t, [loader] * 4, quotes.thread_state)
+    decided = t.spark.read.parquet(f"{out}/decisions").select("id_email", F.lit(None).cast("string").alias("reject_reason"))
+    return decided.unionByName(t.spark.read.parquet(f"{out}/rejects").select("id_email", "reject_reason"))
+
+
+@query("streamed_tariff_changes", CHANGES_SQL)
+def _(t):
+    """What the second of two batches found changed in the tariffs."""
+    first = lambda: inputs.derive_tariffs(t.spark, t.folder)
+    out = _run_batches(t, [first, lambda: next_version(first())], quotes.dedupe_stream)
+    return t.spark.read.parquet(f"{out}/tariffs/changes").drop("batch")
 
 
 @query("manifest")

@@ -49,6 +49,20 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The table as files in the shared folder, and their path: later steps read files that outlive executors."""
+    path = f"{work_folder(df.sparkSession)}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def free(spark: SparkSession, paths: list[str]) -> None:
+    """Delete what ``written`` made once nothing reads it any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder of the cluster, so a lost executor costs no rerun."""
     shared_folder(df.sparkSession)

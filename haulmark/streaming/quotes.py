@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from haulmark.config import QuotingConfig
 from haulmark.functions.requests import VOLUME, is_ignored_sender
 from haulmark.operators.routing import route_requests
-from haulmark.operators.tariffs import apply_quarantine, audit_tariffs, fingerprint
-from haulmark.session import reliable_checkpoint
+from haulmark.operators.tariffs import SENSITIVE, apply_quarantine, audit_tariffs, diff_snapshots, fingerprint
+from haulmark.session import free, written
 
 REQUEST_SCHEMA = (
     "id_email long, thread_id long, ts timestamp, remetente string, e_cotacao boolean, confianca double, origem string, "
@@ -36,19 +36,76 @@ def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter("reject_reason IS NULL").drop("reject_reason"), marked.filter("reject_reason IS NOT NULL")
 
 
+STATE_TTL_MS = 30 * 24 * 3600 * 1000
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _timed(df: DataFrame, watermark: str) -> DataFrame:
+    """A feed whose event time moves the watermark, but whose late rows are kept.
+
+    Spark drops late rows by the column that carries the watermark. The operators behind get a copy
+    of the time instead, see the watermark through their timers, and say themselves what is late.
+    """
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    copy = F.timestamp_micros(F.unix_micros("ts"))
+    return df.withColumn("_clock", F.col("ts")).withWatermark("_clock", watermark).withColumn("ts", copy).drop("_clock")
+
+
+def _milliseconds(times: pd.Series) -> pd.Series:
+    return times.astype("datetime64[ms]").astype("int64")
+
+
+class FirstSeen(StatefulProcessor):
+    """Lets the first record of an id pass; repeats are dropped until the id has been silent for the time to live."""
+
+    def __init__(self, columns: list[str]) -> None:
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "newest long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        mark, before = timerValues.getCurrentWatermarkInMs(), self.seen.get() if self.seen.exists() else None
+        first, newest = None, before[0] if before else 0
+        for frame in rows:
+            earliest = frame.sort_values("ts", kind="stable").head(1)
+            first = earliest if first is None or earliest["ts"].iloc[0] < first["ts"].iloc[0] else first
+            newest = max(newest, int(_milliseconds(frame["ts"]).max()))
+        _expire_after(self.handle, max(newest, mark))
+        self.seen.update((newest,))
+        if before is None:
+            late = _milliseconds(first["ts"]) < mark
+            yield first.assign(reject_reason=late.map({True: "late", False: None}))[self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter([])
+
+
+def _expire_after(handle: StatefulProcessorHandle, newest: int) -> None:
+    """One timer per key, at the end of its time to live in event time."""
+    for timer in list(handle.listTimers()):
+        handle.deleteTimer(timer)
+    handle.registerTimer(newest + STATE_TTL_MS)
+
+
 def dedupe_stream(df: DataFrame, key: str = "id_email", watermark: str = "7 days") -> DataFrame:
-    """Drop repeats inside the watermark; older ones are caught against the log per batch."""
-    return df.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([key])
+    """One record per id. Records behind the watermark stay, with reason ``late``; bad ones too, with theirs."""
+    good, bad = split_rejects(df)
+    schema = T.StructType([*good.schema.fields, T.StructField("reject_reason", T.StringType())])
+    made = _timed(good, watermark).groupBy(key).transformWithStateInPandas(FirstSeen(schema.names), schema, "Append", "EventTime")
+    return made.unionByName(bad)
 
 
 # The package list travels through the state as JSON; an empty one counts as not given.
 _FIELDS = ["origem", "destino", "qtd_volumes", "valor_nf", "peso_kg", "m3_informado", "modal", "volumes"]
 _FIELD_TYPES = "origem string, destino string, qtd_volumes int, valor_nf double, peso_kg double, m3_informado double, modal string, volumes string"
-_STATE = f"{_FIELD_TYPES}, confianca double"
-_THREAD_OUT = f"id_email long, thread_id long, ts timestamp, remetente string, e_cotacao boolean, confianca double, {_FIELD_TYPES}"
-
-
-STATE_TTL_MS = 30 * 24 * 3600 * 1000
+_STATE = f"{_FIELD_TYPES}, confianca double, newest long"
+_PASSED = ["id_email", "thread_id", "ts", "remetente", "e_cotacao", "confianca", *_FIELDS]
+_THREAD_OUT = (
+    f"id_email long, thread_id long, ts timestamp, remetente string, e_cotacao boolean, confianca double, {_FIELD_TYPES}, reject_reason string"
+)
 
 
 def _given(value) -> bool:
@@ -56,97 +113,227 @@ def _given(value) -> bool:
     return value is not None and value == value and value not in ("", 0)
 
 
-def _merge_messages(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Complete each message with what its thread said before; the newest given value wins."""
-    names = [*_FIELDS, "confianca"]
-    if state.hasTimedOut:
-        state.remove()
-        return
-    known = dict(zip(names, state.get, strict=True)) if state.exists else dict.fromkeys(names)
-    # The messages one customer wrote in a thread within one micro-batch.
-    batch = pd.concat(list(frames)).sort_values(["ts", "id_email"]).astype(object)
-    out = []
-    for row in batch.to_dict("records"):
-        if row.pop("heard"):
-            said = {f: row[f] for f in _FIELDS if _given(row[f])}
-            surest = max(row["confianca"] if _given(row["confianca"]) else 0.0, known["confianca"] or 0.0)
-            if row["e_cotacao"]:
-                row.update({f: known[f] for f in _FIELDS if f not in said and _given(known[f])})
-                row["confianca"] = surest
-            known.update(said)
-            known["confianca"] = surest
-        out.append(row)
-    if known["qtd_volumes"] is not None:
-        known["qtd_volumes"] = int(known["qtd_volumes"])
-    state.update(tuple(known[n] for n in names))
-    newest = int(batch["ts"].max().timestamp() * 1000)
-    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + STATE_TTL_MS)
-    result = pd.DataFrame(out)[["id_email", "thread_id", "ts", "remetente", "e_cotacao", "confianca", *_FIELDS]]
-    yield result.astype({"qtd_volumes": "Int32", "valor_nf": "float64", "peso_kg": "float64", "m3_informado": "float64"})
+class ThreadMemory(StatefulProcessor):
+    """Completes each message with what its thread said before; the newest given value wins.
+
+    A value state keeps the fields of the thread, a list state the ids heard lately, so a repeat tells
+    nothing twice. A message behind the watermark comes out as ``late`` and leaves the thread as it is. A timer
+    in event time ends the state of a thread that has been silent for thirty days.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", _STATE)
+        self.heard = handle.getListState("heard", "id_email long, at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = [*_FIELDS, "confianca"]
+        mark = timerValues.getCurrentWatermarkInMs()
+        state = list(self.known.get()) if self.known.exists() else [None] * len(names) + [0]
+        known, newest = dict(zip(names, state, strict=False)), state[-1]
+        heard = {i: at for i, at in self.heard.get()} if self.heard.exists() else {}
+        # The messages one customer wrote in a thread within one micro-batch.
+        batch = pd.concat(list(rows)).sort_values(["ts", "id_email"])
+        out = []
+        for at, row in zip(_milliseconds(batch["ts"]), batch.astype(object).to_dict("records"), strict=True):
+            listens = row.pop("listens")
+            if row["id_email"] in heard:
+                continue
+            row["reject_reason"] = "late" if at < mark else None
+            if at >= mark:
+                heard[row["id_email"]], newest = int(at), max(newest, int(at))
+                if listens:
+                    self._complete(row, known)
+            out.append(row)
+        if known["qtd_volumes"] is not None:
+            known["qtd_volumes"] = int(known["qtd_volumes"])
+        self.known.update((*[known[n] for n in names], newest))
+        # Ids behind the watermark would only come again as late ones, which the log of decisions catches.
+        lately = [(int(i), at) for i, at in heard.items() if at >= mark]
+        if lately:
+            self.heard.put(lately)
+        else:
+            self.heard.clear()
+        _expire_after(self.handle, max(newest, mark))
+        if out:
+            result = pd.DataFrame(out)[[*_PASSED, "reject_reason"]]
+            yield result.astype({"qtd_volumes": "Int32", "valor_nf": "float64", "peso_kg": "float64", "m3_informado": "float64"})
+
+    @staticmethod
+    def _complete(row: dict, known: dict) -> None:
+        said = {f: row[f] for f in _FIELDS if _given(row[f])}
+        surest = max(row["confianca"] if _given(row["confianca"]) else 0.0, known["confianca"] or 0.0)
+        if row["e_cotacao"]:
+            row.update({f: known[f] for f in _FIELDS if f not in said and _given(known[f])})
+            row["confianca"] = surest
+        known.update(said)
+        known["confianca"] = surest
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.known.clear()
+        self.heard.clear()
+        return iter([])
 
 
 def thread_state(df: DataFrame, watermark: str = "7 days") -> DataFrame:
-    """Streaming twin of the thread merge; the state of a silent thread ends after thirty days.
+    """Streaming twin of the thread merge. No record is lost: ``reject_reason`` says why one cannot be decided.
 
-    The end is counted in event time: a wall-clock timeout would keep starting empty batches.
-    Records without id, thread or time never reach the state; ``split_rejects`` of the same feed has them.
+    It is null for completed messages, ``late`` behind the watermark, and names what is missing in
+    records without id, thread or time, which never reach the state.
     """
-    good, _ = split_rejects(df)
+    good, bad = split_rejects(df)
     listed = F.when(F.size("volumes") > 0, F.to_json("volumes"))
-    heard = ~is_ignored_sender("remetente", QuotingConfig().own_address)
-    cols = ["id_email", "thread_id", "ts", "remetente", "e_cotacao", "confianca", *_FIELDS]
-    good = good.withColumns({"volumes": listed, "heard": heard}).withWatermark("ts", watermark).select(*cols, "heard")
-    merged = good.groupBy("thread_id").applyInPandasWithState(
-        _merge_messages, _THREAD_OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
-    return merged.withColumn("volumes", F.from_json("volumes", f"array<{VOLUME}>"))
+    listens = ~is_ignored_sender("remetente", QuotingConfig().own_address)
+    good = good.withColumns({"volumes": listed, "listens": listens}).select(*_PASSED, "listens")
+    merged = _timed(good, watermark).groupBy("thread_id").transformWithStateInPandas(ThreadMemory(), _THREAD_OUT, "Append", "EventTime")
+    merged = merged.withColumn("volumes", F.from_json("volumes", f"array<{VOLUME}>"))
+    return merged.unionByName(bad.select(*_PASSED, "reject_reason"))
 
 
-def with_tariffs(loader: Callable[[], DataFrame], enforce: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Load, audit and fingerprint the tariffs as they are now; runs once per micro-batch."""
-    tariffs = reliable_checkpoint(loader())
-    audited = reliable_checkpoint(apply_quarantine(tariffs, audit_tariffs(tariffs), enforce))
-    prints = fingerprint(tariffs)
-    content = prints.agg(F.count("*").alias("tariffs"), F.sum(F.xxhash64("row_hash").cast("decimal(38,0)")).cast("string").alias("hash"))
-    return audited, content
+# ---------------------------------------------------------------- tariffs as they are at each batch
+
+
+class TariffStore:
+    """Snapshots of the tariff table by content, their history by batch, and what changed from one to the next.
+
+    A content is written once. The latest and the one before it are kept; older ones are freed.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def snapshot(self, content: str) -> DataFrame:
+        fields = ", ".join(f"`{c}` string" for c in ("key", *SENSITIVE, "row_hash"))
+        return self.spark.read.schema(fields).parquet(f"{self.folder}/snapshots/content={content}")
+
+    def history(self) -> DataFrame:
+        return self.spark.read.schema("batch long, content string, tariffs long").parquet(f"{self.folder}/history")
+
+    def record(self, prints: DataFrame, batch_id: int) -> str:
+        """Store the content seen by a batch, and its changes against the content of the batch before."""
+        rows = prints.agg(F.count("*").alias("n"), F.sum(F.xxhash64("row_hash").cast("decimal(38,0)")).cast("string").alias("h")).first()
+        content = f"{rows['n']}_{rows['h'] or 0}"
+        earlier = []
+        if _exists(self.spark, f"{self.folder}/history"):
+            earlier = [r["content"] for r in self.history().filter(F.col("batch") < batch_id).orderBy(F.desc("batch")).limit(KEPT_VERSIONS).collect()]
+        if not _exists(self.spark, f"{self.folder}/snapshots/content={content}"):
+            prints.write.mode("overwrite").parquet(f"{self.folder}/snapshots/content={content}")
+        if earlier and earlier[0] != content:
+            changes = diff_snapshots(self.snapshot(earlier[0]), self.snapshot(content))
+            changes.write.mode("overwrite").parquet(f"{self.folder}/changes/batch={batch_id}")
+        entry = self.spark.range(1).select(F.lit(content).alias("content"), F.lit(rows["n"]).cast("long").alias("tariffs"))
+        entry.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/history/batch={batch_id}")
+        kept = {content, *earlier[:1]}
+        free(self.spark, [f"{self.folder}/snapshots/content={c}" for c in earlier[1:] if c not in kept])
+        return content
+
+
+#: Versions looked back at when old snapshots are freed.
+KEPT_VERSIONS = 50
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def with_tariffs(loader: Callable[[], DataFrame], enforce: bool = True) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Load and audit the tariffs as they are now, with their fingerprint and the paths to free after the batch."""
+    tariffs, raw = written(loader())
+    audited, path = written(apply_quarantine(tariffs, audit_tariffs(tariffs), enforce))
+    return audited, fingerprint(tariffs), [raw, path]
+
+
+# ---------------------------------------------------------------- ids of decided requests as an index
+
+#: Rows of the filter of a day, of 64 bits each: two bits of one row stand for an id.
+DAY_SLOTS = 4096
+
+
+def _place(id_: str) -> dict[str, Column]:
+    h = F.xxhash64(id_, F.lit(3))
+    bit = lambda by: F.call_function("shiftleft", F.expr("1L"), F.pmod(F.shiftright(h, by), F.lit(64)).cast("int"))
+    return {"slot": F.pmod(h, F.lit(DAY_SLOTS)).cast("int"), "mask": bit(20).bitwiseOR(bit(40))}
+
+
+def day_filters(decisions: DataFrame) -> DataFrame:
+    """``day, slot, bits``: which ids were decided on a day, folded by ``bit_or``; at most ``DAY_SLOTS`` rows a day."""
+    return decisions.withColumns(_place("id_email")).groupBy("day", "slot").agg(F.bit_or("mask").alias("bits"))
+
+
+class DecisionLog:
+    """Decisions by day and batch, with a filter per day that says where an id may have been decided.
+
+    The filters of all days let few ids through; only the days they name are read, and only there
+    ids are compared.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def decided(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/decisions")
+
+    def before(self, ids: DataFrame, batch_id: int) -> DataFrame | None:
+        """Those of ``ids`` that another batch has decided; null when there is surely none."""
+        if not _exists(self.spark, f"{self.folder}/filters"):
+            return None
+        filters = self.spark.read.schema("slot int, bits long, day string, batch long").parquet(f"{self.folder}/filters")
+        filters = filters.filter(F.col("batch") != batch_id).groupBy("day", "slot").agg(F.bit_or("bits").alias("bits"))
+        asked = ids.select("id_email").distinct().withColumns(_place("id_email"))
+        maybe = asked.join(filters, "slot").filter(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).select("id_email", "day")
+        days = [r["day"] for r in maybe.select("day").distinct().collect()]  # at most the days of the log
+        if not days:
+            return None
+        schema = "id_email long, day string, batch long"
+        there = self.spark.read.schema(schema).parquet(f"{self.folder}/decisions").filter(F.col("day").isin(days) & (F.col("batch") != batch_id))
+        return maybe.join(there.select("id_email", "day"), ["id_email", "day"], "left_semi").select("id_email").distinct()
+
+    def append(self, decided: DataFrame, batch_id: int) -> None:
+        """Write a batch; running it again overwrites what it wrote."""
+        marked = decided.withColumns({"day": F.date_format("ts", "yyyy-MM-dd"), "batch": F.lit(batch_id).cast("long")})
+        parts = marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch")
+        parts.parquet(f"{self.folder}/decisions")
+        mine = self.spark.read.schema("id_email long, day string, batch long").parquet(f"{self.folder}/decisions").filter(F.col("batch") == batch_id)
+        rows = day_filters(mine).withColumn("batch", F.lit(batch_id).cast("long"))
+        rows.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{self.folder}/filters")
 
 
 def start_quote_stream(
     requests: DataFrame, loader: Callable[[], DataFrame], out: str, checkpoint: str, day: str,
     cfg: QuotingConfig = QuotingConfig(), trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Decide every request of the feed and append the decisions to ``out``.
+    """Decide every request of the feed: each id ends up once, in ``decisions`` or in ``rejects``.
 
-    A batch writes its own partition and overwrites it when the batch is run again, and the
-    ids other batches decided are left out, so a replay changes nothing.
+    A batch writes its own partitions and overwrites them when the batch is run again, and
+    ids other batches decided are left out, so a replay changes nothing. Tariffs are loaded once per
+    batch, and ``tariffs/changes`` holds what changed since the batch before.
     """
 
     def decide(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # The batch is written three ways; without this, the state behind it would run as often.
-        batch = batch.persist()
-        good, rejects = split_rejects(batch)
-        audited, content = with_tariffs(loader)
-        earlier = _earlier_ids(spark, f"{out}/decisions", batch_id)
-        fresh = good if earlier is None else good.join(earlier, "id_email", "left_anti")
-        decided = route_requests(fresh, audited, day, cfg).select(*DECISION_COLUMNS)
-        decided.write.mode("overwrite").parquet(f"{out}/decisions/batch={batch_id}")
-        rejects.write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
-        content.write.mode("overwrite").parquet(f"{out}/tariff_versions/batch={batch_id}")
-        batch.unpersist()
+        log, store = DecisionLog(spark, out), TariffStore(spark, f"{out}/tariffs")
+        # Written once: the state behind the batch would run as often as it is read.
+        batch, path = written(batch)
+        if "reject_reason" in batch.columns:
+            good, bad = batch.filter("reject_reason IS NULL").drop("reject_reason"), batch.filter("reject_reason IS NOT NULL")
+        else:
+            good, bad = split_rejects(batch)
+        good = good.dropDuplicates(["id_email"])
+        audited, prints, paths = with_tariffs(loader)
+        store.record(prints, batch_id)
+        earlier = log.before(batch.filter("id_email IS NOT NULL"), batch_id)
+        if earlier is not None:
+            good = good.join(earlier, "id_email", "left_anti")
+            bad = bad.join(earlier, "id_email", "left_anti")
+        log.append(route_requests(good, audited, day, cfg).select(*DECISION_COLUMNS), batch_id)
+        bad.write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
+        free(spark, [path, *paths])
 
     writer = requests.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _earlier_ids(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return None
-    schema = "id_email long, batch long"
-    return spark.read.schema(schema).parquet(folder).filter(F.col("batch") != batch_id).select("id_email").distinct()
-
-
 def outcome_counts_stream(decisions: DataFrame, watermark: str = "2 days") -> DataFrame:
     """Running counts by UTC day and outcome; use with update mode."""
     return (

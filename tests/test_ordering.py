@@ -102,3 +102,52 @@ def test_isolation_finds_the_far_rows(spark):
     out = fit_isolation(df, ["a", "b"], ["id"], trees=30).transform(df)
     flagged = {r.id for r in out.filter("structural_outlier").collect()}
     assert set(range(10)) <= flagged and len(flagged) <= 40
+
+
+def test_carry_forward(spark):
+    """One group holds a third of the rows and lies over several partitions."""
+    k = F.col("id")
+    df = spark.range(5000).select(
+        k, F.when(k % 3 == 0, 0).when(k % 1000 == 1, None).otherwise(k % 97).alias("g"), ((k * 7919) % 5000).alias("t"),
+        F.when(k % 11 == 0, F.array(k, k + 1)).alias("a"), F.when(k % 50 == 7, F.concat(F.lit("s"), k)).alias("s"),
+        F.when(k % 13 == 0, (k * 31 % 1009) / 7.0).alias("m"),
+    )
+    got = ordering.carry_forward(df.repartition(9), ["g"], ["t", "id"], ["a", "s"], ["m"]).toPandas()
+    pdf = df.toPandas()
+    state, want = {}, {}
+    for r in pdf.sort_values(["t", "id"]).itertuples():
+        g = None if pd.isna(r.g) else r.g
+        a, s, m = state.get(g, (None, None, None))
+        a = list(r.a) if r.a is not None else a
+        s = r.s if r.s is not None and r.s == r.s else s
+        m = m if pd.isna(r.m) else r.m if m is None else max(m, r.m)
+        state[g] = want[r.id] = (a, s, m)
+    assert len(got) == 5000
+    for r in got.itertuples():
+        found = (None if r.last_a is None else list(r.last_a), r.last_s if isinstance(r.last_s, str) else None, None if pd.isna(r.max_m) else r.max_m)
+        assert found == want[r.id], r.id
+
+
+def test_quantiles_of_hard_values(spark):
+    rng = np.random.default_rng(3)
+    values = np.concatenate([
+        rng.normal(size=20_000), rng.lognormal(0, 30, 5000), -rng.lognormal(0, 30, 5000), np.repeat(1e-310, 50), np.repeat(-0.0, 70),
+        np.nextafter(1.0, 2.0) + np.arange(40) * np.finfo(float).eps, [1e308, -1e308, np.inf, -np.inf],
+    ])
+    rng.shuffle(values)
+    df = spark.createDataFrame(pd.DataFrame({"v": values, "g": np.arange(len(values)) % 3}))
+    probs = [0, 0.001, 0.25, 0.5, 0.505, 0.75, 0.999, 1]
+    wanted = {f"q{i}": ("v", p) for i, p in enumerate(probs)}
+    for row in ordering.summarise(df, ["g"], {"n": F.count("*")}, wanted).collect():
+        mine = np.sort(values[np.arange(len(values)) % 3 == row.g])
+        for i, p in enumerate(probs):
+            at = (len(mine) - 1) * p
+            lo, hi = mine[int(np.floor(at))], mine[int(np.ceil(at))]
+            want = lo if at == int(at) and np.isfinite(lo) else lo + (at - np.floor(at)) * (hi - lo)
+            assert row[f"q{i}"] == pytest.approx(want, rel=1e-12, nan_ok=True), (row.g, p)
+
+
+def test_ranks(spark):
+    df = spark.createDataFrame([("a", 1.0, 5), ("b", 1.0, 2), ("c", None, 2), ("d", 0.5, 9)], "k string, x double, y int")
+    got = {r.k: (r.rx, r.ry) for r in ordering.ranks(df, {"x": "rx", "y": "ry"}).collect()}
+    assert got == {"a": (2, 3), "b": (2, 1), "c": (None, 1), "d": (1, 4)}
