@@ -12,9 +12,14 @@ def row_hash(cols: list[str]) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+def row_number_hash(cols: list[str]) -> Column:
+    """60 bits of the row hash as a number."""
+    return F.conv(F.substring(row_hash(cols), 1, 15), 16, 10).cast("long")
+
+
 def table_hash(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Order-independent content hash: rows, sum and exclusive-or of 60 bits of each row hash."""
-    h = F.conv(F.substring(row_hash(cols or df.columns), 1, 15), 16, 10).cast("long")
+    h = row_number_hash(cols or df.columns)
     return df.agg(
         F.count("*").alias("rows"),
         F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash_sum"),

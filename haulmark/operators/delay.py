@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -130,7 +133,7 @@ def score(model: PipelineModel, df: DataFrame, name: str, numeric=NUMERIC, categ
     return out.select(*df.columns, name)
 
 
-def boosted(rounds: int = 60, depth: int = 5, step: float = 0.06, min_leaf: int = 40, seed: int = 42) -> GBTClassifier:
+def boosted(rounds: int = 300, depth: int = 5, step: float = 0.06, min_leaf: int = 40, seed: int = 42) -> GBTClassifier:
     return GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, minInstancesPerNode=min_leaf, seed=seed, maxBins=128)
 
 
@@ -139,8 +142,53 @@ def fit_delay(train: DataFrame, **settings) -> PipelineModel:
     return fit_classifier(train, boosted(**settings))
 
 
-def compare_delay_models(train: DataFrame, test: DataFrame, rounds: int = 20, trees: int = 50) -> tuple[DataFrame, str]:
-    """Line-up from one cut to boosted trees on one test side, and the small tree as text."""
+def tree_paths(model: PipelineModel, names: list[str]) -> list[list[tuple[str, str, float]]]:
+    """The conditions (feature, ``<=`` or ``>``, threshold) on the way to each leaf of a fitted tree over numbers."""
+    paths: list[list[tuple[str, str, float]]] = []
+    open_: list[tuple[str, str, float]] = []
+    for line in model.stages[-1].toDebugString.split("\n")[1:]:
+        depth = len(line) - len(line.lstrip()) - 2
+        found = re.search(r"\(feature (\d+) (<=|>) ([-0-9.Ee]+)\)", line)
+        if found:
+            open_ = [*open_[:depth], (names[int(found[1])], found[2], float(found[3]))]
+        elif "Predict" in line:
+            paths.append(open_[:depth])
+    return paths
+
+
+def tree_rules(model: PipelineModel, df: DataFrame, numeric: list[str] = NUMERIC, y: str = "y") -> DataFrame:
+    """Each leaf as a conjunction, with its rows and late rate over the whole of ``df`` in one pass.
+
+    A missing number counts as the median of training, which the condition shows.
+    """
+    imputed = ["i_" + c for c in numeric] + ["m_" + c for c in numeric]
+    ready = model.stages[0].transform(as_model_input(df, numeric))
+    medians = model.stages[0].surrogateDF.first().asDict()
+
+    def said(feature, sign, cut):
+        name = feature[2:]
+        if feature.startswith("m_"):
+            return f"{name} {'is given' if sign == '<=' else 'is missing'}"
+        return f"coalesce({name}, {medians[name]!r}) {sign} {cut!r}"
+
+    which, texts = F.lit(None).cast("int"), []
+    for i, path in enumerate(tree_paths(model, imputed)):
+        tests = [F.col(f) <= v if sign == "<=" else F.col(f) > v for f, sign, v in path]
+        which = F.when(reduce(lambda a, b: a & b, tests, F.lit(True)), i).otherwise(which)
+        texts.append(F.struct(F.lit(i).alias("rule"), F.lit(" AND ".join(said(*c) for c in path)).alias("conditions")))
+    late = F.col(y).cast("double")
+    counted = ready.groupBy(which.alias("rule")).agg(F.count("*").alias("n"), F.sum(late).cast("long").alias("late"), F.round(100 * F.avg(late), 4).alias("late_pct"))
+    rules = df.sparkSession.range(1).select(F.inline(F.array(*texts)))
+    return rules.join(counted, "rule", "left").select("rule", "conditions", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("late", F.lit(0)).cast("long").alias("late"), "late_pct")
+
+
+def small_tree(train: DataFrame) -> PipelineModel:
+    """The tree whose rules are printed: three levels over the numbers."""
+    return fit_classifier(train, DecisionTreeClassifier(maxDepth=3, minInstancesPerNode=200, seed=42), NUMERIC, [])
+
+
+def compare_delay_models(train: DataFrame, test: DataFrame, rounds: int = 300, trees: int = 300) -> DataFrame:
+    """Line-up from one cut to boosted trees on one test side."""
     one, forest = ["promised_days"], RandomForestClassifier(numTrees=trees, maxDepth=8, minInstancesPerNode=20, seed=42, maxBins=128)
     common = collapse_rare(train, train, CATEGORICAL), collapse_rare(test, train, CATEGORICAL)
     line_up = {
@@ -151,16 +199,14 @@ def compare_delay_models(train: DataFrame, test: DataFrame, rounds: int = 20, tr
         "boosted_one_feature": (boosted(rounds), one, [], False),
         "boosted": (boosted(rounds), NUMERIC, CATEGORICAL, False),
     }
-    scored, text = common[1], ""
+    scored = common[1]
     for name, (estimator, numeric, categorical, onehot) in line_up.items():
         model = fit_classifier(common[0], estimator, numeric, categorical, onehot)
         scored = score(model, scored, "s_" + name, numeric, categorical)
-        if name == "tree_depth_3":
-            text = model.stages[-1].toDebugString
-    return score_models(scored, {n: "s_" + n for n in line_up}, "y"), text
+    return score_models(scored, {n: "s_" + n for n in line_up}, "y")
 
 
-def leak_proofs(table: DataFrame, rounds: int = 20) -> DataFrame:
+def leak_proofs(table: DataFrame, rounds: int = 300) -> DataFrame:
     """Area of the honest set-up next to three that cheat: random split, later column, tautological flag."""
     train, test = table.filter("split = 'train'"), table.filter("split = 'test'")
     share = train.count() / max(table.count(), 1)

@@ -12,6 +12,8 @@ from haulmark.plans.registry import query
 from haulmark.session import reliable_checkpoint
 
 KEYS = ["order_id", "seller_id"]
+#: Rounds and trees of the queries; the operators themselves default to the settings of record (300). README has the times.
+ROUNDS, TREES = 60, 100
 OUTLIER_INPUTS = ["x_" + c for c in PRICE_NUMERIC]
 
 
@@ -72,25 +74,30 @@ def _delay_sides(t):
 @query("delay_scores")
 def _(t):
     train, test = _delay_sides(t)
-    model = delay_ops.fit_delay(train)
+    model = delay_ops.fit_delay(train, rounds=ROUNDS)
     return delay_ops.score(model, test, "p").select("order_id", "y", F.round("p", 4).alias("p"))
 
 
 @query("delay_model_line_up")
 def _(t):
-    table, _ = delay_ops.compare_delay_models(*_delay_sides(t))
-    return table
+    return delay_ops.compare_delay_models(*_delay_sides(t), rounds=ROUNDS, trees=TREES)
+
+
+@query("delay_tree_rules")
+def _(t):
+    df = _delay_split(t)
+    return delay_ops.tree_rules(delay_ops.small_tree(df.filter("split = 'train'")), df)
 
 
 @query("delay_leak_proofs")
 def _(t):
-    return delay_ops.leak_proofs(_delay_split(t))
+    return delay_ops.leak_proofs(_delay_split(t), ROUNDS)
 
 
 @query("delay_permutation_importance")
 def _(t):
     train, test = _delay_sides(t)
-    model = delay_ops.fit_delay(train)
+    model = delay_ops.fit_delay(train, rounds=ROUNDS)
     return delay_ops.permutation_importance(model, test)
 
 

@@ -14,6 +14,8 @@ from haulmark.sources.star import AdaptedStar, adapt_star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Twins before the shared definitions are put in front, for twins that are made of others.
+TWINS: dict[str, str] = {}
 MODULE_OF: dict[str, str] = {}
 
 
@@ -52,7 +54,7 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = lambda spark, folder: fn(Inputs(spark, folder))
         MODULE_OF[name] = fn.__module__
         if sql is not None:
-            ORACLES[name] = with_ctes(sql)
+            ORACLES[name], TWINS[name] = with_ctes(sql), sql
         return fn
 
     return register

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from haulmark.operators import centroids, cities, curation, deliveries, funnel, ordering, profiles, quality
 from haulmark.operators import sla as sla_ops
-from haulmark.plans.registry import query
+from haulmark.plans.registry import QUERIES, TWINS, query
+from haulmark.session import work_folder
+from haulmark.sources import versions
 
 _NULLABLE = ["seller_id", "product_id", "approved_ts", "carrier_ts", "delivered_ts", "weight_g", "paid_value", "n_items"]
 
@@ -180,11 +182,41 @@ def _(t):
     return quality.defect_cost(star, curation.star_core(star), cities.city_pairs(star))
 
 
-@query("quality_scorecard")
+#: The seven dimensions: the report each is read from, its keys and its numbers, and the grade people gave.
+_DIMENSIONS = {
+    "completeness": ("null_profile", ["column"], ["nulls", "pct"], 3.0),
+    "uniqueness": ("uniqueness_report", ["section", "metric"], ["value"], 2.0),
+    "consistency": (
+        "consistency_report", ["field"], ["spellings", "names", "names_with_many", "embedded_state", "entity_spellings", "rows"], 2.0,
+    ),
+    "validity": ("validity_report", ["section", "metric"], ["value"], 4.0),
+    "accuracy": ("accuracy_report", ["section", "metric"], ["value"], 3.0),
+    "timeliness": ("timeliness_report", ["section", "metric"], ["value"], 3.0),
+    "provenance": (
+        "provenance_by_seller_tier", ["seller_tier"],
+        ["orders", "no_carrier_pct", "no_delivery_pct", "no_weight_pct", "late_pct", "median_lead"], 2.0,
+    ),
+}
+_GRADES = {d: grade for d, (*_, grade) in _DIMENSIONS.items()}
+
+
+def _dimension_sql(section, name, keys, values, grade):
+    key = "||'|'||".join(f"coalesce(CAST(\"{k}\" AS VARCHAR),'')" for k in keys)
+    rows = ", ".join(f"{{'metric': '{v}', 'value': CAST(\"{v}\" AS DOUBLE)}}" for v in values)
+    return f"""SELECT '{section}' section, k "key", m.metric metric, round(m.value,3) AS "value", {grade}::DOUBLE grade FROM (
+      SELECT {key} k, unnest([{rows}]) m FROM ({TWINS[name]}) r)"""
+
+
+@query(
+    "quality_scorecard",
+    f"""SELECT *, {round(sum(_GRADES.values()) / len(_GRADES), 1)}::DOUBLE mean_grade FROM ({" UNION ALL ".join(
+        _dimension_sql(d, *told) for d, told in _DIMENSIONS.items())})""",
+)
 def _(t):
-    star = t.star
-    evidence = quality.uniqueness_report(star).unionByName(quality.timeliness_report(star, "2026-09-02"))
-    return quality.scorecard(evidence, {"geo": 2.0, "near_duplicates": 2.0, "tail": 2.0, "extract": 3.0})
+    store = versions.MetricStore(t.spark, work_folder(t.spark))
+    for section, (name, keys, _, _) in _DIMENSIONS.items():
+        store.record("now", section, QUERIES[name](t.spark, t.folder), keys)
+    return _rounded(quality.scorecard(store.read("now"), _GRADES))
 
 
 @query("population_cuts", """

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from haulmark.config import CurationConfig
-from haulmark.operators import curation
+from haulmark.operators import centroids, cities, curation
 from haulmark.plans.ctes import define
 from haulmark.plans.quoting_queries import CHANGES_SQL, DAY, next_version
 from haulmark.plans.registry import query
-from haulmark.session import use_utc, work_folder
+from haulmark.session import use_utc, work_folder, written
 from haulmark.sources import quoting_inputs as inputs
 from haulmark.sources import versions
 from haulmark.streaming import quotes
@@ -123,15 +125,46 @@ def _(t):
     return t.spark.read.parquet(f"{out}/tariffs/changes").drop("batch")
 
 
-@query("manifest")
+_SOURCES = ["orders", "items", "payments", "reviews", "customers", "sellers", "products", "geo", "translation"]
+_OUTPUTS = {"deliveries": "cu_core", "city_map": "ci_map", "zip_centroids": "ge_mean"}
+
+
+def _text(value):
+    return "'" + value.replace("'", "''") + "'"
+
+
+_FIXED = [("version", "version", "v1"), *[("param", k, json.dumps(v, ensure_ascii=False)) for k, v in vars(CurationConfig()).items()]]
+_FIXED += [("rule", str(i + 1), r) for i, r in enumerate(versions.RULES)]
+_MANIFEST = [
+    f"SELECT '{kind}' kind, '{name}' name, count(*) \"rows\", true hashed, NULL AS \"value\" FROM {table}"
+    for kind, tables in (("source", {s: f"fx_{s}" for s in _SOURCES}), ("output", _OUTPUTS)) for name, table in tables.items()
+]
+_MANIFEST += [f"SELECT {_text(k)}, {_text(n)}, NULL, false, {_text(v)}" for k, n, v in _FIXED]
+_MANIFEST += ["SELECT 'window', 'purchase', NULL, false, CAST(CAST(max(purchase_ts) AS DATE) AS VARCHAR) FROM fx_orders"]
+
+
+@query("manifest", " UNION ALL ".join(_MANIFEST))
 def _(t):
-    star = t.star
-    core = curation.star_core(star)
-    cfg = CurationConfig()
-    made = versions.build_manifest(
-        "v1", {"orders": star.orders, "items": star.items}, {"deliveries": core}, dict(vars(cfg)), star.orders
-    )
-    return versions.provenance_report(made)
+    star, geo = t.star, centroids.zip_centroids(t.star.geo)
+    outputs = {"deliveries": curation.star_core(star), "city_map": cities.city_map(cities.city_pairs(star)), "zip_centroids": geo}
+    made = versions.build_manifest("v1", {s: getattr(star, s) for s in _SOURCES}, outputs, dict(vars(CurationConfig())), star.orders)
+    report = versions.provenance_report(made)
+    return report.select("kind", "name", "rows", (F.length("hash") == 12).alias("hashed"), "value").fillna({"hashed": False})
+
+
+@query("incremental_hash", """SELECT count(*) "rows", CAST(sum(h) AS VARCHAR) hash_sum, bit_xor(h) hash_xor, 1 changed_files FROM (
+SELECT CAST('0x'||substr(sha256('='||o_orderkey||'|='||o_custkey),1,15) AS BIGINT) h FROM orders)""")
+def _(t):
+    """Orders in eight files; one is written again, and only that one is read again."""
+    out = f"{work_folder(t.spark)}/orders"
+    orders = t.table("orders").select("o_orderkey", "o_custkey")
+    for k in range(8):
+        orders.filter(F.pmod("o_orderkey", F.lit(8)) == k).coalesce(1).write.parquet(f"{out}/part={k}")
+    first, _ = written(versions.file_hashes(t.spark, f"{out}/part=*"))
+    orders.filter(F.pmod("o_orderkey", F.lit(8)) == 3).coalesce(1).write.mode("overwrite").parquet(f"{out}/part=3")
+    again, _ = written(versions.file_hashes(t.spark, f"{out}/part=*", first))
+    new = again.join(first, ["file_path", "file_size", "file_modification_time"], "left_anti").select(F.count("*")).scalar()
+    return versions.hash_of_files(again).withColumn("changed_files", new.cast("int"))
 
 
 @query("curated_contract", "SELECT order_id, branch filial, seller_tier origem_registo, honest_late atraso_honesto, qa_flags_total, qa_quarantine qa_quarentena FROM cu_full")

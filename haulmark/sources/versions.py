@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulmark.functions.hashing import table_hash
+from haulmark.functions.hashing import row_number_hash, table_hash
 from haulmark.functions.numbers import parse_bool
 from haulmark.operators.curation import CONTRACT, FLAG_CONTRACT
 
@@ -91,6 +91,49 @@ def provenance_report(manifest: DataFrame) -> DataFrame:
     )
 
 
+_FILE = ["file_path", "file_size", "file_modification_time"]
+
+
+def file_hashes(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+    """Rows and order-free hashes of each file of a Parquet table; files that ``known`` has are not read again.
+
+    A file is the same when its path, size and time of change are. Only names of changed files come to the driver.
+    """
+    table = spark.read.parquet(path)
+    files = table.select(*[F.col(f"_metadata.{c}").alias(c) for c in _FILE]).distinct()
+    changed = files if known is None else files.join(known, _FILE, "left_anti")
+    names = [r["file_path"] for r in changed.select("file_path").collect()]
+    kept = None if known is None else known.join(files, _FILE, "left_semi")
+    if not names:
+        return kept if kept is not None else spark.createDataFrame([], "file_path string, file_size long, file_modification_time timestamp, rows long, hash_sum decimal(38,0), hash_xor long")
+    own = row_number_hash(table.columns)
+    read = spark.read.schema(table.schema).parquet(*names).select(*[F.col(f"_metadata.{c}").alias(c) for c in _FILE], own.alias("_h"))
+    made = read.groupBy(*_FILE).agg(
+        F.count("*").alias("rows"), F.sum(F.col("_h").cast("decimal(38,0)")).cast("decimal(38,0)").alias("hash_sum"), F.bit_xor("_h").alias("hash_xor")
+    )
+    return made if kept is None else kept.unionByName(made)
+
+
+def hash_of_files(files: DataFrame) -> DataFrame:
+    """The table's hash from those of its files, as ``table_hash`` has it: sums and exclusive-ors add up."""
+    return files.agg(F.sum("rows").alias("rows"), F.sum("hash_sum").cast("decimal(38,0)").cast("string").alias("hash_sum"), F.bit_xor("hash_xor").alias("hash_xor"))
+
+
+class MetricStore:
+    """Reports of a run in long form, one folder per run and section; writing a section again replaces it."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def record(self, run: str, section: str, report: DataFrame, keys: list[str]) -> None:
+        rows = metrics_long(report, section, keys).drop("section")
+        rows.write.mode("overwrite").parquet(f"{self.folder}/run={run}/section={section}")
+
+    def read(self, run: str) -> DataFrame:
+        schema = "key string, metric string, value double, run string, section string"
+        return self.spark.read.schema(schema).parquet(self.folder).filter(F.col("run") == run).select("section", "key", "metric", "value")
+
+
 def metrics_long(df: DataFrame, section: str, keys: list[str]) -> DataFrame:
     """Any report as (section, key, metric, value) rows."""
     values = [c for c, kind in df.dtypes if c not in keys and kind in ("int", "bigint", "double", "boolean")]
