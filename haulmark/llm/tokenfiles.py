@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from haulmark.llm.common import small_batches, text_slices
 
-#: Encoded pieces a task remembers; at about 200 bytes each they stay below 80 MB.
-REMEMBERED = 400_000
+#: Encoded pieces a Python worker remembers over its tasks; at about 200 bytes each they stay below 140 MB.
+REMEMBERED = 700_000
 # Letters of ASCII and Latin-1, and characters that are neither blank nor outside of these.
 _L, _SEEN = "A-Za-zÀ-ÖØ-öø-ÿ", "!-~À-ÖØ-öø-ÿ"
 #: A word where a byte-level tokenizer surely starts and ends a piece: letters up to a character that
@@ -95,6 +95,18 @@ class Encoder:
         return [self.whole([t])[0] if pieces is None else b"".join(map(known, pieces)) for t, pieces in zip(texts, cut, strict=True)]
 
 
+_LAST: dict[int, Encoder] = {}
+
+
+def encoder_for(tokenizer_json: str) -> Encoder:
+    """The encoder this worker made for the tokenizer before, or a new one; one is kept."""
+    key = zlib.crc32(tokenizer_json.encode()) << 32 | len(tokenizer_json)
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Encoder(tokenizer_json)
+    return _LAST[key]
+
+
 def splits_at_words(made: dict) -> bool:
     """Whether pieces can be encoded one by one."""
     split = made.get("pre_tokenizer") or {}
@@ -144,7 +156,7 @@ def write_tokens(
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = Encoder(made), TaskContext.get().partitionId(), 0
+        encoder, part, before = encoder_for(made), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in text_slices(batches):
             whole = [e + end for e in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
