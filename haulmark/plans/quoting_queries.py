@@ -6,6 +6,7 @@ import html
 
 from pyspark.sql import functions as F
 
+from haulmark.config import QuotingConfig
 from haulmark.functions import geo as geo_fn
 from haulmark.functions import hashing, numbers, requests, text, times
 from haulmark.operators import audit_log, centroids, cities, routing, tariffs
@@ -663,3 +664,25 @@ def _(t):
 def _(t):
     _, rejected = audit_log.quote_state(_quote_events(t))
     return rejected.select("event_id", "problem")
+
+
+@query("routed_by_model", """
+WITH m AS (SELECT *, coalesce(remetente,'')='' OR remetente LIKE '%noreply%' OR NOT e_cotacao ignored, coalesce(confianca,0) sure,
+  o<>'' AND d<>'' AND line_no IS NULL unpriced, (o,d) IN (SELECT o,d FROM rq_any) known,
+  o='' OR d='' OR packages IS NULL OR coalesce(valor_nf,0)<=0 OR coalesce(peso_kg,0)<=0 gaps,
+  CASE WHEN id_email%17=0 THEN 'missing' WHEN id_email%19=1 THEN 'distancia ausente' ELSE 'ok' END status FROM rq_priced)
+SELECT id_email, CASE WHEN ignored THEN 'ignorado' WHEN sure<0.35 THEN 'erro' WHEN unpriced AND known THEN 'erro' WHEN unpriced THEN 'sem_rota'
+  WHEN gaps THEN 'incompleto' WHEN sure<0.60 THEN 'erro' WHEN coalesce(modal,tariff_modal)<>'RODOVIARIO' THEN 'erro'
+  WHEN status<>'ok' THEN 'erro' WHEN peso_kg/packages>peso_maximo_volume_kg THEN 'erro' ELSE 'cotado' END outcome,
+ CASE WHEN NOT ignored AND NOT unpriced AND NOT gaps AND sure>=0.60 AND coalesce(modal,tariff_modal)='RODOVIARIO' AND status='distancia ausente' THEN status END model_reason,
+ CASE WHEN NOT ignored AND NOT unpriced AND NOT gaps AND sure>=0.60 AND coalesce(modal,tariff_modal)='RODOVIARIO' AND status='ok'
+  AND NOT coalesce(peso_kg/packages>peso_maximo_volume_kg,false) THEN round(valor_nf/8,2) END quoted_total FROM m""")
+def _(t):
+    """The waterfall with model pricing: the model's answer is given by a rule, so that SQL can say it too."""
+    q = _Q(t)
+    e = F.col("id_email")
+    status = F.when(e % 17 == 0, "missing").when(e % 19 == 1, "distancia ausente").otherwise("ok")
+    asked = q.requests.withColumns({"model_status": status, "model_total": F.round(F.col("valor_nf") / 8, 2)})
+    out = routing.route_requests(asked, q.audited, DAY, QuotingConfig(pricing="historico"))
+    said = F.when(F.col("reason") == "distancia ausente", F.col("reason"))
+    return out.select("id_email", "outcome", said.alias("model_reason"), "quoted_total")

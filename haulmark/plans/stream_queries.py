@@ -167,12 +167,44 @@ def _(t):
     return versions.hash_of_files(again).withColumn("changed_files", new.cast("int"))
 
 
-@query("curated_contract", "SELECT order_id, branch filial, seller_tier origem_registo, honest_late atraso_honesto, qa_flags_total, qa_quarantine qa_quarentena FROM cu_full")
+_NAMES = {**curation.CONTRACT, **curation.FLAG_CONTRACT, "qa_flags_total": "qa_flags_total", "qa_quarantine": "qa_quarentena"}
+_TIMES = [c for c in _NAMES.values() if c.startswith("dt_")]
+_NUMBERS = [_NAMES[c] for c in ("weight_g", "weight_g_original", "goods_value", "freight_value", "paid_value", "lead_days", "days_vs_promise")]
+
+
+def _shown(name, theirs):
+    if theirs in _TIMES:
+        return f"strftime({name},'%Y-%m-%d %H:%M:%S') {theirs}"
+    return f"round(CAST({name} AS DOUBLE),2) {theirs}" if theirs in _NUMBERS else f"{name} {theirs}"
+
+
+_CONTRACT_SQL = f"SELECT {', '.join(_shown(ours, theirs) for ours, theirs in _NAMES.items())} FROM cu_full"
+
+
+def _comparable(df):
+    times = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in _TIMES}
+    return df.withColumns(times | {c: F.round(F.col(c).cast("double"), 2) for c in _NUMBERS})
+
+
+@query("curated_contract", _CONTRACT_SQL)
 def _(t):
+    """All published columns of a version, written and read back."""
     out = work_folder(t.spark)
+    use_utc(t.spark)
     versions.write_version({"entregas_curado": curation.select_contract(t.curated)}, out, "v1")
-    back = versions.read_curated(t.spark, out, "v1")
-    return back.select("order_id", "filial", "origem_registo", "atraso_honesto", "qa_flags_total", "qa_quarentena")
+    return _comparable(versions.read_curated(t.spark, out, "v1"))
+
+
+@query("curated_from_text", _CONTRACT_SQL)
+def _(t):
+    """The same by way of the semicolon-separated form."""
+    out = work_folder(t.spark)
+    use_utc(t.spark)
+    published = curation.select_contract(t.curated).write.option("header", True).option("sep", ";")
+    published.csv(f"{out}/v1/entregas_curado.csv")
+    # Text has no types for keys; here they are numbers.
+    keys = {c: F.col(c).cast("long") for c in ("order_id", "customer_id", "product_id", "seller_id")}
+    return _comparable(versions.read_curated(t.spark, out, "v1", fmt="csv")).withColumns(keys)
 
 
 @query("shipments_written", 'SELECT strftime(purchase_ts,\'%Y-%m\') year_month, count(*) n FROM sh_price GROUP BY 1')

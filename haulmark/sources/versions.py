@@ -54,7 +54,8 @@ def read_curated(spark: SparkSession, folder: str, version: str, table: str = "e
     flags = [c for c in ("ativo", "atraso_mensuravel", "vencido_sem_registo", "qa_quarentena", *FLAG_CONTRACT.values()) if c in raw.columns]
     three = [c for c in ("atrasado", "atraso_honesto") if c in raw.columns]
     numbers = [CONTRACT[c] for c in ("weight_g", "weight_g_original", "goods_value", "freight_value", "paid_value", "lead_days", "days_vs_promise") if CONTRACT[c] in raw.columns]
-    cols = {c: F.try_to_timestamp(F.col(c)) for c in dates} | {c: parse_bool(c) for c in flags}
+    whole = [c for c in (CONTRACT["n_items"], "qa_flags_total") if c in raw.columns]
+    cols = {c: F.try_to_timestamp(F.col(c)) for c in dates} | {c: F.col(c).try_cast("long") for c in whole} | {c: parse_bool(c) for c in flags}
     cols |= {c: F.when(F.trim(c) != "", parse_bool(c)) for c in three} | {c: F.col(c).try_cast("double") for c in numbers}
     return raw.withColumns(cols)
 
