@@ -80,25 +80,25 @@ def build_deliveries(star: Star) -> DataFrame:
     )
 
 
-def shipment_items(star: Star) -> DataFrame:
-    """Items of delivered orders with their product."""
-    orders = star.orders.filter("order_status = 'delivered'").select(
-        "order_id", "customer_id", "purchase_ts", "delivered_ts", "promised_ts"
-    )
+def shipment_items(star: Star, every: bool = False) -> DataFrame:
+    """Items of delivered orders with their product; or ``every`` item, with a mark for those."""
+    columns = ["order_id", "customer_id", "purchase_ts", "delivered_ts", "promised_ts"]
+    delivered = F.col("order_status") == "delivered"
+    orders = star.orders.select(*columns, delivered.alias("is_delivered")) if every else star.orders.filter(delivered).select(*columns)
     products = star.products.select(
         "product_id", "category", "weight_g", (F.col("length_cm") * F.col("height_cm") * F.col("width_cm")).alias("volume_cm3")
     )
-    return star.items.join(orders, "order_id").join(products, "product_id", "left")
+    return star.items.join(orders, "order_id", "left" if every else "inner").join(products, "product_id", "left")
 
 
-def shipment_rollup(lines: DataFrame) -> DataFrame:
-    """One row per order and seller. A sum without values is zero."""
+def shipment_rollup(lines: DataFrame, marks: tuple[str, ...] = ()) -> DataFrame:
+    """One row per order and seller (and ``marks``). A sum without values is zero."""
 
     def total(c):
         return F.coalesce(F.sum(c), F.lit(0.0))
 
     place = F.struct("order_item_id", "product_id", "category")
-    return lines.groupBy("order_id", "seller_id", "customer_id", "purchase_ts", "delivered_ts", "promised_ts").agg(
+    return lines.groupBy("order_id", "seller_id", "customer_id", "purchase_ts", "delivered_ts", "promised_ts", *marks).agg(
         F.count("order_item_id").alias("quantity_items"),
         total("price").alias("declared_value"),
         total("freight_value").alias("freight_value"),

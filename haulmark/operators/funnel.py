@@ -17,7 +17,7 @@ from haulmark.operators.deliveries import (
 )
 from haulmark.operators.ordering import summarise, top_k
 from haulmark.operators.quality import lag_summary, long_metrics
-from haulmark.session import reliable_checkpoint
+from haulmark.session import written
 from haulmark.sources.star import Star
 
 _REQUIRED = [*PRICE_NUMERIC, "freight_value"]
@@ -34,50 +34,39 @@ def flag_member(df: DataFrame, reference: DataFrame, key: str, name: str) -> Dat
     return df.join(marked, key, "left").withColumn(name, F.coalesce("_in", F.lit(False))).drop("_in")
 
 
-def _steps(star: Star):
-    lines = shipment_items(star)
-    rolled = shipment_rollup(lines)
+def _placed(rolled: DataFrame, star: Star) -> DataFrame:
     ends = attach_ends(rolled, star)
-    full = shipment_features(attach_geo(ends, reliable_checkpoint(zip_centroids(star.geo, "median"))))
-    kept = require(full, _REQUIRED, [*PRICE_CATEGORICAL, "purchase_ts"])
-    return lines, rolled, full, kept
+    return shipment_features(attach_geo(ends, written(zip_centroids(star.geo, "median"))[0]))
 
 
 def exclusion_funnel(star: Star) -> DataFrame:
     """Rows, share of the raw rows and freight that remain after each step.
 
-    The three last steps share one grain and are counted in one pass.
+    Items are read once: they are rolled up to shipments with a mark for delivered ones, and each
+    later step is counted on that table.
     """
-    lines, rolled, full, _ = _steps(star)
+    tagged, _ = written(shipment_rollup(shipment_items(star, every=True), ("is_delivered",)))
+    lines, freight, kept = F.col("quantity_items"), F.col("freight_value"), F.coalesce("is_delivered", F.lit(False))
+    first = {
+        "raw_items": (F.sum(lines), F.sum(freight)),
+        "delivered_items": (F.sum(F.when(kept, lines)), F.sum(F.when(kept, freight))),
+        "shipments": (count_if(kept), F.sum(F.when(kept, freight))),
+    }
     # A condition that meets a missing value is not met: the row leaves.
-    complete = F.col("distance_km").isNotNull() & F.col("freight_value").isNotNull()
-    valid = complete & (F.col("freight_value") >= 0) & (F.col("weight_total_kg") > 0) & (F.col("quantity_items") > 0)
-
-    def step(df, no, label):
-        return df.agg(F.count("*").alias("n"), F.sum("freight_value").alias("f")).select(
-            F.lit(no).alias("step"), F.lit(label).alias("label"), "n", "f"
-        )
-
-    marks = {3: ("with_both_ends", F.lit(True)), 4: ("complete", complete), 5: ("in_domain", valid)}
-    one = full.agg(
-        *[count_if(c).alias(f"n{k}") for k, (_, c) in marks.items()],
-        *[F.sum(F.when(c, F.col("freight_value"))).alias(f"f{k}") for k, (_, c) in marks.items()],
-    )
-    last = one.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(k).alias("step"), F.lit(label).alias("label"), F.col(f"n{k}").alias("n"), F.col(f"f{k}").alias("f")
-                    )
-                    for k, (label, _) in marks.items()
-                ]
-            )
-        )
-    )
-    out = step(star.items, 0, "raw_items").unionByName(step(lines, 1, "delivered_items"))
-    out = out.unionByName(step(rolled, 2, "shipments")).unionByName(last)
-    raw = star.items.select(F.count("*")).scalar()
+    complete = F.col("distance_km").isNotNull() & freight.isNotNull()
+    valid = complete & (freight >= 0) & (F.col("weight_total_kg") > 0) & (lines > 0)
+    last = {
+        label: (count_if(c), F.sum(F.when(c, freight)))
+        for label, c in {"with_both_ends": F.lit(True), "complete": complete, "in_domain": valid}.items()
+    }
+
+    def steps(df, measures, start):
+        one = df.agg(*[F.struct(F.coalesce(n, F.lit(0)).alias("n"), f.alias("f")).alias(label) for label, (n, f) in measures.items()])
+        rows = [F.struct(F.lit(start + i).alias("step"), F.lit(m).alias("label"), F.col(f"{m}.n").alias("n"), F.col(f"{m}.f").alias("f")) for i, m in enumerate(measures)]
+        return one.select(F.inline(F.array(*rows)))
+
+    out = steps(tagged, first, 0).unionByName(steps(_placed(tagged.filter("is_delivered").drop("is_delivered"), star), last, 3))
+    raw = tagged.select(F.sum(lines)).scalar()
     return out.select(
         "step", "label", F.col("n").alias("rows"), F.round(100 * F.col("n") / raw, 2).alias("pct_of_raw"), F.round("f", 2).alias("freight")
     )
@@ -112,7 +101,8 @@ def exclusion_bias(star: Star) -> DataFrame:
         lines, ["cause"], {"rows": F.count("*"), "mean_freight": F.avg("freight_value")},
         {"median_freight": ("freight_value", 0.5), "median_price": ("price", 0.5)},
     )
-    _, _, full, kept = _steps(star)
+    full, _ = written(_placed(shipment_rollup(shipment_items(star)), star))
+    kept = require(full, _REQUIRED, [*PRICE_CATEGORICAL, "purchase_ts"])
     no_geo = full.filter("distance_km IS NULL").withColumn("cause", F.lit("left_incomplete"))
     domain = kept.filter("NOT (freight_value >= 0 AND weight_total_kg > 0 AND quantity_items > 0)").withColumn(
         "cause", F.lit("left_domain")
