@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from haulmark.llm.mixing import mix_sources
 from haulmark.llm.neighbours import nearest_neighbours
-from haulmark.llm.packing import pack_documents
+from haulmark.llm.packing import cheapest_opening, pack, pack_documents
 from haulmark.llm.passages import cut_passages
 from tests.llm.helpers import WORDS, cut_by_brute_force, frame
 
@@ -66,3 +66,28 @@ def test_copies_of_a_text_without_id_are_cut_alike(spark):
     got = cut_passages(frame(spark, rows), ["doc_id"]).collect()
     made = sorted((str(10**9 if r["doc_id"] is None else r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got)
     assert made == want
+
+
+def packed_by_scanning(sizes, lengths):
+    """Best fit with a list of open bins that is scanned for each piece."""
+    counts = {s: sizes.count(s) for s in set(sizes)}
+    bins = []
+    for s in sorted(sizes, reverse=True):
+        counts[s] -= 1
+        bits = sum(1 << x for x, n in counts.items() if n and x)
+        fits = [b for b in bins if b[0] - b[1] >= s]
+        if fits:
+            min(fits, key=lambda b: b[0] - b[1])[1] += s
+        else:
+            bins.append([cheapest_opening(s, {x: n for x, n in counts.items() if n}, bits, sorted(lengths)), s])
+    return sorted((used, min(c for c in lengths if c >= used)) for _, used in bins)
+
+
+def test_packing_against_a_scan_of_all_bins():
+    rng = np.random.default_rng(6)
+    for lengths in ((16, 64, 256), (100,), (7, 13, 40)):
+        for n in (1, 5, 60, 300):
+            sizes = [int(x) for x in rng.integers(1, max(lengths) + 1, n)]
+            bin_of, offset, capacity = pack(sizes, lengths)
+            used = np.bincount(bin_of, sizes, minlength=len(capacity)).astype(int).tolist()
+            assert sorted(zip(used, capacity, strict=True)) == packed_by_scanning(sizes, lengths)
