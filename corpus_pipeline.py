@@ -23,7 +23,11 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the byte network takes for good ones; it learns from two thirds of the labels."""
+    """Documents that the byte network takes for good ones; it learns from two thirds of the labels.
+
+    Null and empty texts are judged like any other (an empty text); repeated rows fare alike; null
+    labels are not learned from; an empty table gives none. Other columns are dropped.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_quality(docs.select(*COLUMNS), labels, bucket_of("doc_id", 3) != 1, COLUMNS)
     return scored.filter("predicted = 1").select(*COLUMNS)
@@ -57,7 +61,11 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them: some not at all, some up to three times."""
+    """Documents as often as the mix of sources takes them: some not at all, some up to three times.
+
+    A text without words is never taken, as it adds none. Null sources are one source. Rows of one id are
+    documents of their own; rows equal in all columns share what was taken of them. An empty table gives none.
+    """
     rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_key"))
     taken = mix_sources(rows, key=F.col("_key"))
     own = [F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("_key")]
@@ -71,7 +79,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences: the bin, its length, and which words of which document lie where in it."""
+    """Training sequences: the bin, its length, and which words of which document lie where in it.
+
+    Texts without words have no row. Rows of one id, and copies that the mix made, are packed each on
+    its own. An empty table gives none.
+    """
     return pack_documents(docs)
 
 
