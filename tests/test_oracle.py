@@ -20,6 +20,7 @@ SAMPLE = [
     "city_map", "typo_suspects", "tariff_audit", "routed_requests", "delay_auc_by_month", "segment_quality",
     "tariff_changes", "tariff_fingerprint", "merged_threads", "page_texts", "random_split", "table_hash",
     "price_fairness_by_distance", "logged_decisions", "star_orders_from_csv", "quarantined_routes",
+    "page_references", "incremental_hash", "manifest", "routed_by_model", "freight_dispersion", "curated_from_text",
 ]
 NAMES = list(QUERIES) if os.environ.get("HAULMARK_ALL") else SAMPLE
 
