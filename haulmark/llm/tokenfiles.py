@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from haulmark.llm.common import small_batches, text_slices
 
-#: Encoded pieces a Python worker remembers over its tasks; at about 200 bytes each they stay below 140 MB.
-REMEMBERED = 700_000
+#: A Python worker remembers encoded pieces over its tasks: at most about twice as many, of some 200 bytes each.
+REMEMBERED = 150_000
 # Letters of ASCII and Latin-1, and characters that are neither blank nor outside of these.
 _L, _SEEN = "A-Za-zÀ-ÖØ-öø-ÿ", "!-~À-ÖØ-öø-ÿ"
 #: A word where a byte-level tokenizer surely starts and ends a piece: letters up to a character that
@@ -70,6 +70,7 @@ class Encoder:
         self.library = Tokenizer.from_str(tokenizer_json)
         self.model, self.letters = self.library.model, byte_letters()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.by_pieces = splits_at_words(made)
         self.added = [t["content"] for t in made.get("added_tokens") or []]
 
@@ -88,9 +89,13 @@ class Encoder:
         if not self.by_pieces:
             return self.whole(texts)
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self.older, self.known = self.known, {}
         cut = [None if any(a in t for a in self.added) else _PIECES.findall(t) for t in texts]
-        self.learn(set().union(*filter(None, cut)).difference(self.known))
+        new = set().union(*filter(None, cut)).difference(self.known)
+        # Pieces that come again move on from the older half, the others are forgotten with it.
+        again = new.intersection(self.older)
+        self.known.update((p, self.older[p]) for p in again)
+        self.learn(new.difference(again))
         known = self.known.__getitem__
         return [self.whole([t])[0] if pieces is None else b"".join(map(known, pieces)) for t, pieces in zip(texts, cut, strict=True)]
 
