@@ -53,6 +53,13 @@ def test_html_text(spark):
     assert [r[0] for r in df.select(text.html_to_text("h")).collect()] == ["Olá 😀 & &#bad;\n two\nthree", None, ""]
 
 
+def test_references_cut_off_stay_where_only_finished_ones_count(spark):
+    html = "<h1>a&amp</h1>b&amp;c &#225; &#225 &notit; &lt"
+    df = spark.createDataFrame([(html,)], "h string")
+    assert df.select(text.html_to_text("h", finished_only=True)).first()[0] == "a&amp\nb&c á &#225 &notit; &lt"
+    assert df.select(text.html_to_text("h")).first()[0] == "a&\nb&c á á ¬it; <"
+
+
 def test_segment_names_take_turns(spark):
     columns = ["segment", "distance_km", "weight_total_kg", "quantity_mean"]
     rules = [("near", "distance_km", "min"), ("heavy", "weight_total_kg", "max"), ("many", "quantity_mean", "max")]
