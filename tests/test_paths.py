@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from haulmark.functions import text
+from haulmark.functions import numbers, text
 from haulmark.operators import evaluation, quality, routing, tariffs
 from haulmark.plans.quoting_queries import DAY
 from haulmark.sources import quoting_inputs as inputs
@@ -60,6 +60,12 @@ def test_references_cut_off_stay_where_only_finished_ones_count(spark):
     assert df.select(text.html_to_text("h")).first()[0] == "a&\nb&c á á ¬it; <"
 
 
+def test_rounding_of_doubles_just_below_a_tie(spark):
+    values = [1.255, 1.265, -1.255, 2.5, 0.125, None]  # 1.265 too lies below its tie
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(numbers.round_scaled("v")).collect()]
+    assert got == [1.25, 1.26, -1.25, 2.5, 0.13, None]
+
+
 def test_segment_names_take_turns(spark):
     columns = ["segment", "distance_km", "weight_total_kg", "quantity_mean"]
     rules = [("near", "distance_km", "min"), ("heavy", "weight_total_kg", "max"), ("many", "quantity_mean", "max")]
