@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from haulmark.functions import numbers, text
-from haulmark.operators import evaluation, quality, routing, tariffs
+from haulmark.functions import geo, numbers, text
+from haulmark.operators import deliveries, evaluation, quality, routing, tariffs
 from haulmark.plans.quoting_queries import DAY
 from haulmark.sources import quoting_inputs as inputs
+from haulmark.sources.star import adapt_star
 from haulmark.sources.tariffs import load_tariffs
 
 
@@ -89,3 +90,22 @@ def test_odd_terms_are_discarded(spark, folder):
 def test_ungraded_evidence_stays(spark):
     evidence = spark.createDataFrame([("a", "m", 1.0), ("b", "m", 2.0)], "section string, metric string, value double")
     assert {r.section: r.grade for r in quality.scorecard(evidence, {"a": 7.0}).collect()} == {"a": 7.0, "b": None}
+
+
+def test_distance_is_finite_exactly_when_no_coordinate_is_missing(spark):
+    odd = [None, float("nan"), float("inf"), 0.0, -33.0, 90.0]
+    rows = [(a, b, c, 10.0) for a in odd for b in odd for c in odd]
+    df = spark.createDataFrame(rows, "origin_lat double, origin_lng double, dest_lat double, dest_lng double")
+    far = df.withColumn("distance_km", geo.haversine_km("origin_lat", "origin_lng", "dest_lat", "dest_lng"))
+    assert deliveries._located(far).count() == numbers.require(far, ["distance_km"]).count() == 125
+
+
+def test_small_centroids_do_not_shuffle_shipments_by_prefix(spark, folder):
+    plan = deliveries.shipments_before_filters(adapt_star(spark, folder))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(seller_zip" not in plan and "hashpartitioning(customer_zip" not in plan
+    assert "hashpartitioning(seller_id" not in plan
+
+
+def test_filters_of_shipments_compute_no_distance(spark, folder):
+    plan = deliveries.build_shipments(adapt_star(spark, folder))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter" in line and "ASIN" in line.upper()]
