@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from haulmark.operators import centroids, cities, curation, deliveries, funnel, ordering, profiles, quality
 from haulmark.operators import sla as sla_ops
-from haulmark.plans.registry import QUERIES, TWINS, query
+from haulmark.plans.registry import ON_INPUTS, TWINS, query
 from haulmark.session import work_folder
 from haulmark.sources import versions
 
@@ -44,7 +44,7 @@ def _rounded(df, digits=3):
     ),
 )
 def _(t):
-    return quality.null_profile(deliveries.build_deliveries(t.star), _NULLABLE)
+    return quality.null_profile(t.deliveries, _NULLABLE)
 
 
 @query("nulls_by_branch", """
@@ -112,7 +112,7 @@ def _(t):
 ]))
 def _(t):
     star = t.star
-    return quality.validity_report(star, deliveries.build_deliveries(star))
+    return quality.validity_report(star, t.deliveries)
 
 
 _DONE = """(SELECT *, epoch(delivered_ts-purchase_ts)/86400 lead, abs(paid_value-(goods_value+freight_value)) gap
@@ -130,7 +130,7 @@ _DONE = """(SELECT *, epoch(delivered_ts-purchase_ts)/86400 lead, abs(paid_value
         ("sides_over_250_cm", "count(*) FILTER (length_cm+height_cm+width_cm>250)")], "fx_products")])})""")
 def _(t):
     star = t.star
-    return _rounded(quality.accuracy_report(star, deliveries.build_deliveries(star)), 2)
+    return _rounded(quality.accuracy_report(star, t.deliveries), 2)
 
 
 def _lags(stage, a, b, where="true", source="fx_orders"):
@@ -179,7 +179,7 @@ d AS (SELECT 'overdue_without_record' defect, count(*) FILTER (overdue_no_record
 SELECT defect, affected, round(affected*a*(fine+b)*yearly,2) yearly_cost FROM d, f, y""")
 def _(t):
     star = t.star
-    return quality.defect_cost(star, curation.star_core(star), cities.city_pairs(star))
+    return quality.defect_cost(star, t.core, cities.city_pairs(star))
 
 
 #: The seven dimensions: the report each is read from, its keys and its numbers, and the grade people gave.
@@ -215,7 +215,7 @@ def _dimension_sql(section, name, keys, values, grade):
 def _(t):
     store = versions.MetricStore(t.spark, work_folder(t.spark))
     for section, (name, keys, _, _) in _DIMENSIONS.items():
-        store.record("now", section, QUERIES[name](t.spark, t.folder), keys)
+        store.record("now", section, ON_INPUTS[name](t), keys)
     return _rounded(quality.scorecard(store.read("now"), _GRADES))
 
 
