@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from haulmark.llm.common import small_batches, text_slices
 
 #: A Python worker remembers encoded pieces over its tasks: at most about twice as many, of some 200 bytes each.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 # Letters of ASCII and Latin-1, and characters that are neither blank nor outside of these.
 _L, _SEEN = "A-Za-zÀ-ÖØ-öø-ÿ", "!-~À-ÖØ-öø-ÿ"
 #: A word where a byte-level tokenizer surely starts and ends a piece: letters up to a character that
@@ -80,7 +80,8 @@ class Encoder:
     def learn(self, pieces: set[str]) -> None:
         words = [p for p in pieces if p[-1:].isalpha() and p.lstrip(" ").isalpha()]
         for word in words:
-            spelt = word.encode().decode("latin-1").translate(self.letters)
+            # ASCII letters stand for themselves.
+            spelt = word.replace(" ", self.letters[0x20]) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
             self.known[word] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
         rest = list(pieces.difference(words))
         self.known.update(zip(rest, self.whole(rest), strict=True))

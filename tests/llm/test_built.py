@@ -168,6 +168,17 @@ def test_pieces_encode_as_whole_texts():
     assert not Encoder(tokenizer_text(public_tokenizers.path("word_bpe_49k.json"))).by_pieces
 
 
+def test_half_a_million_pieces_are_encoded_once():
+    encoder, learned = Encoder(tokenizer_text(public_tokenizers.path("byte_bpe_50k.json"))), []
+    real = encoder.learn
+    encoder.learn = lambda pieces: learned.append(len(pieces)) or real(pieces)
+    letters = "abcdefghij"
+    texts = ["".join(" " + "".join(letters[int(d)] for d in str(n)) for n in range(a, a + 20_000)) for a in range(0, 500_000, 20_000)]
+    first = encoder.encode(texts[:12]) + encoder.encode(texts[12:])
+    before = sum(learned)
+    assert encoder.encode(texts[:12]) + encoder.encode(texts[12:]) == first and sum(learned) == before
+
+
 def digests_by_brute_force(rows):
     from tokenizers import Tokenizer
 
